@@ -41,3 +41,12 @@ def stable_bits(value: Column, digits: int = 15, salt: str = "") -> Column:
     """A non-negative long of 4 * digits bits that depends on nothing but the value (null: as empty) and the salt."""
     text = F.concat(F.lit(salt), F.coalesce(value.cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
+#: Rows up to which a materialised table of a few narrow columns is sent to all executors.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A materialised table, marked for broadcasting if it is known to be small; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df

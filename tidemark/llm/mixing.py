@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, stable_bits, table
+from .common import materialise, small, stable_bits, table
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -56,7 +56,7 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     units = materialise(units.withColumn("u", u), "mix-units")
     targets = source_targets(units.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, max_copies)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = materialise(targets.withColumn("whole", F.floor(share)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
+    targets = small(materialise(targets.withColumn("whole", F.floor(share)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets"))
 
     # The inclusion odds that documents of a source share don't change their order; the range is cut without them, to be even.
     part = units.withColumn("rank", F.col("u") / (1 - F.col("u")) / F.col("wish")).withColumn("range", F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int"))
@@ -71,10 +71,10 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     fits = F.when(F.col("size") == 0, F.when(room > 0, F.col("n")).otherwise(0)).otherwise(F.greatest(F.lit(0), F.least(F.col("n"), F.floor(room / F.col("size")))))
     taken = materialise(ordered.withColumn("extra", F.when(F.col("rest") > 0, fits).otherwise(0)).drop("range", "start", "first", "rank", "u", "wish"), "mix-taken")
 
-    gaps = taken.groupBy("source_key").agg((F.max("rest") - F.sum(F.col("size") * F.col("extra"))).alias("gap"))
+    gaps = small(materialise(taken.groupBy("source_key").agg((F.max("rest") - F.sum(F.col("size") * F.col("extra"))).alias("gap")), "mix-gaps"))
     left = taken.filter("extra < n and size > 0 and rest > 0").join(gaps, "source_key").filter("size < 2 * gap")
     best = F.struct(F.abs(F.col("size") - F.col("gap")).alias("d"), "pareto", "key", "size", "text_hash")
-    closing = left.groupBy("source_key").agg(F.min(best).alias("closing"))
+    closing = small(materialise(left.groupBy("source_key").agg(F.min(best).alias("closing")), "mix-closing"))
     same = F.col("key").eqNullSafe(F.col("closing.key")) & (F.col("size") == F.col("closing.size")) & (F.col("text_hash") == F.col("closing.text_hash")) & (F.col("pareto") == F.col("closing.pareto"))
     out = taken.join(closing, "source_key", "left").withColumn("extra", F.col("extra") + F.when(F.coalesce(same, F.lit(False)), 1).otherwise(0))
     return out.select("key", "source", "source_key", "size", "text_hash", "n", "source_size", "target", "whole", "extra")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import licenses, mixing, secrets, sharding, urls
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
+    "op3_licenses": licenses.op3_licenses,
+    "op4_url_filter": urls.op4_url_filter,
+    "op7_secrets": secrets.op7_secrets,
     "op9_mixing": mixing.op9_mixing,
 }
 
 #: Without an entry, SQL can't express the result (CRC-32, sketches, fitted models): tests hold it against brute force.
 ORACLES = {
+    "op4_url_filter": urls.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
