@@ -83,7 +83,8 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
     # The list's own tail beside it: a lambda that looked into the list again could be planned to build it for each word.
     grams = F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.xxhash64(a, b))
     marked = words.select("doc_id", "text_hash", F.size("words").alias("n_words"), F.concat(F.array(mark), grams).alias("grams"))
-    votes = marked.select("doc_id", "text_hash", "n_words", F.posexplode("grams").alias("position", "gram")).join(F.broadcast(index), "gram")
+    # The outer form: for the inner one the planner would test the lists for length first, building them once more.
+    votes = marked.select("doc_id", "text_hash", "n_words", F.posexplode_outer("grams").alias("position", "gram")).join(F.broadcast(index), "gram")
     where = F.col("position") - 1
     diagonals = (
         votes.groupBy("doc_id", "text_hash", "template", (where - F.col("at")).alias("diagonal"))
