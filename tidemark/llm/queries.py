@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, secrets, sharding, urls
+from . import decontamination, licenses, mixing, secrets, sharding, toxicity, urls
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_sharding": sharding.op2_sharding,
     "op3_licenses": licenses.op3_licenses,
     "op4_url_filter": urls.op4_url_filter,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op7_secrets": secrets.op7_secrets,
     "op9_mixing": mixing.op9_mixing,
 }

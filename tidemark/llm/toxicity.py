@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 #: Terms to begin with, when no labels say otherwise, and phrases in which a term means no harm.
 SEED_TERMS = (
@@ -28,8 +28,10 @@ LOOK_ALIKES = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e",
 SIGNS = {"0": "o", "1": "i", "!": "i", "|": "i", "l": "i", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "6": "g", "7": "t", "8": "b", "9": "g"}
 #: Labelled training rows that the lexicon and the curve are fitted on, and terms learned from them.
 SAMPLE_ROWS, LEARNED_TERMS = 20_000, 300
-#: A learned term is in so many toxic texts, and so large a part of them, and so much oftener than in others (log odds).
-LEAST_TEXTS, LEAST_PART, LEAST_LOG_ODDS = 5, 0.08, 2.0
+#: A learned term is in so many toxic texts, and so large a part of them, and its rate is so much higher there (log ratio).
+LEAST_TEXTS, LEAST_PART, LEAST_WEIGHT, MOST_WEIGHT = 5, 0.03, 1.5, 8.0
+#: Learned terms are words or, marked by *, beginnings of words of so many characters; a text counts a term so often at most.
+STEMS, MOST_OF_A_TEXT = range(4, 9), 5
 SEED_WEIGHT = 3.0
 #: Bias and slopes of log(1 + weight) and log(1 + weight per 100 words), where there is nothing to fit them on.
 DEFAULT_CURVE = (-3.0, 0.7, 1.3)
@@ -61,22 +63,23 @@ def fold(text: str) -> str:
 
 
 def automaton(weights: dict[str, float]) -> ahocorasick.Automaton:
-    """Payloads: (length, weight) of a term, weight None for an exception phrase."""
+    """Payloads: (length, weight, whether anything may follow) of a term, weight None for an exception phrase."""
     found = ahocorasick.Automaton()
     for term, weight in weights.items():
-        found.add_word(fold(term), (len(term), weight))
+        bare = term.rstrip("*")
+        found.add_word(fold(bare), (len(bare), weight, bare != term))
     for phrase in EXCEPTIONS:
-        found.add_word(fold(phrase), (len(phrase), None))
+        found.add_word(fold(phrase), (len(phrase), None, False))
     found.make_automaton()
     return found
 
 
 def weigh(text: str, terms: ahocorasick.Automaton) -> tuple[float, int]:
-    """The weight of the terms that stand as whole words outside of exception phrases, and the number of words."""
+    """The weight of the terms that stand as whole words (or begin one, as marked) outside of exception phrases, and the number of words."""
     hits, excused = [], []
-    for last, (length, weight) in terms.iter(fold(text)):
+    for last, (length, weight, open_end) in terms.iter(fold(text)):
         first, end = last - length + 1, last + 1
-        if (first == 0 or not text[first - 1].isalnum()) and (end == len(text) or not text[end].isalnum()):
+        if (first == 0 or not text[first - 1].isalnum()) and (open_end or end == len(text) or not text[end].isalnum()):
             (excused if weight is None else hits).append((first, end, weight))
     free = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in excused)] if excused else hits
     return sum(h[2] for h in free), text.count(" ") + text.count("\n") + 1
@@ -100,15 +103,32 @@ def held_out(doc_id: Column) -> Column:
 
 def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        tox, rest = Counter(), Counter()
+        texts, counts, totals = Counter(), (Counter(), Counter()), [0, 0]
         for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-            (tox if toxic else rest).update({w.strip(".,;:!?\"'()[]*%#&$|") for w in text.lower().split()})
-        words = [w for w in tox if 2 < len(w) < 40]
-        if words:
-            yield pd.DataFrame({"word": words, "tox": [tox[w] for w in words], "rest": [rest[w] for w in words]})
-        others = [w for w in rest if w not in tox and 2 < len(w) < 40]
-        if others:
-            yield pd.DataFrame({"word": others, "tox": 0, "rest": [rest[w] for w in others]})
+            words, terms = Counter(w.strip(".,;:!?\"'()[]*%#&$|") for w in text.lower().split()), Counter()
+            for word, n in words.items():
+                if 2 < len(word) < 40:
+                    terms[word] += n
+                    for k in STEMS:
+                        if len(word) > k:
+                            terms[word[:k] + "*"] += n
+            if toxic:
+                texts.update(terms.keys())
+            totals[toxic] += words.total()
+            counts[toxic].update({t: min(n, MOST_OF_A_TEXT) for t, n in terms.items()})
+        every = list(counts[0] | counts[1])
+        yield pd.DataFrame({"term": every, "texts": [texts[t] for t in every], "tox": [counts[1][t] for t in every], "rest": [counts[0][t] for t in every]})
+        yield pd.DataFrame({"term": [""], "texts": 0, "tox": totals[1], "rest": totals[0]})  # the words of all texts
+
+
+def _without_kin(ranked: list[tuple[str, float]]) -> dict[str, float]:
+    """The best of terms that begin one another."""
+    kept: dict[str, float] = {}
+    for term, weight in ranked:
+        bare = term.rstrip("*")
+        if not any(bare.startswith(k.rstrip("*")) or k.startswith(bare) for k in kept):
+            kept[term] = weight
+    return kept
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -124,12 +144,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         seeds = dict.fromkeys(SEED_TERMS, SEED_WEIGHT)
         if not n_tox or not n_rest:
             return Model(seeds, DEFAULT_CURVE)
-        counts = sample.groupBy("hash").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").mapInPandas(_count_terms, "word string, tox long, rest long")
-        counts = counts.groupBy("word").agg(F.sum("tox").alias("tox"), F.sum("rest").alias("rest"))
-        odds = F.log((F.col("tox") + 0.5) / (n_tox - F.col("tox") + 0.5)) - F.log((F.col("rest") + 0.5) / (n_rest - F.col("rest") + 0.5))
-        told = counts.withColumn("odds", odds).filter(F.col("word").isin(*SEED_TERMS) | ((F.col("tox") >= max(LEAST_TEXTS, LEAST_PART * n_tox)) & (F.col("odds") >= LEAST_LOG_ODDS)))
-        learned = {r["word"]: r["odds"] for r in told.orderBy(F.desc("odds"), "word").limit(LEARNED_TERMS + len(SEED_TERMS)).collect()}
-        weights = {w: min(x, 8.0) for w, x in (seeds | learned).items() if x >= 0.5}
+        once = sample.groupBy("hash").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+        counts = once.mapInPandas(_count_terms, "term string, texts long, tox long, rest long")
+        counts = materialise(counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("texts", "tox", "rest")]), "terms")
+        words = counts.filter("term = ''").first()
+        weight = F.log((F.col("tox") + 0.5) / (words["tox"] + 1.0)) - F.log((F.col("rest") + 0.5) / (words["rest"] + 1.0))
+        weighed = counts.filter("term <> ''").withColumn("weight", weight).withColumn("gain", F.col("weight") * F.col("tox"))
+        told = weighed.filter((F.col("texts") >= max(LEAST_TEXTS, LEAST_PART * n_tox)) & (F.col("weight") >= LEAST_WEIGHT))
+        ranked = told.orderBy(F.desc("gain"), F.desc(F.length(F.regexp_replace("term", r"\*$", ""))), "term").limit(LEARNED_TERMS * len(STEMS)).select("term", "weight").collect()
+        learned = _without_kin([(r["term"], min(r["weight"], MOST_WEIGHT)) for r in ranked])
+        harmless = {r["term"] for r in weighed.filter(F.col("term").isin(*SEED_TERMS) & (F.col("weight") < 0.5)).collect()}
+        learned = dict(list(learned.items())[:LEARNED_TERMS])
+        weights = learned | {t: w for t, w in seeds.items() if t not in harmless and not any(t.startswith(k.rstrip("*")) for k in learned)}
         rows_seen = sample.select("text", "toxic").mapInPandas(_Weigher(Model(weights, DEFAULT_CURVE), ["toxic"]), "toxic int, weight double, words long").toPandas()
         return Model(weights, _fit_curve(features(rows_seen["weight"].to_numpy(), rows_seen["words"].to_numpy()), rows_seen["toxic"].to_numpy() == 1))
     finally:
