@@ -5,8 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import materialise, table
+from tidemark.llm.decontamination import drop_contaminated
 from tidemark.llm.mixing import mix_documents
+from tidemark.llm.neardup import keep_one
 from tidemark.llm.sharding import assign_shards
+from tidemark.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of docs that score below 0.5; the score is learnt from `labels` and the texts of docs."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near duplicates."""
+    return keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of docs without an item of `benchmark`."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +37,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return assign_shards(docs)
 
 
-STAGES = [("mixing", mix), ("sharding", shard)]
+STAGES = [("toxicity", toxicity), ("neardup", neardup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
 
 #: SQL can't express the fitted toxicity score and the sketches.
 ORACLE_SQL = None
