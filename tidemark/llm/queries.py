@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, mixing, neardup, secrets, sharding, toxicity, urls
+from . import decontamination, licenses, mixing, neardup, secrets, sharding, toxicity, urls, vectors
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_licenses": licenses.op3_licenses,
     "op4_url_filter": urls.op4_url_filter,
     "op5_decontamination": decontamination.op5_decontamination,
+    "op6_nearest": vectors.op6_nearest,
     "op7_secrets": secrets.op7_secrets,
     "op8_neardup": neardup.op8_neardup,
     "op9_mixing": mixing.op9_mixing,
