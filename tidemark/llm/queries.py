@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, mixing, neardup, secrets, sharding, toxicity, urls, vectors
+from . import decontamination, licenses, mixing, neardup, pii, secrets, sharding, toxicity, urls, vectors
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_secrets": secrets.op7_secrets,
     "op8_neardup": neardup.op8_neardup,
     "op9_mixing": mixing.op9_mixing,
+    "op10_pii": pii.op10_pii,
 }
 
 #: Without an entry, SQL can't express the result (CRC-32, sketches, fitted models): tests hold it against brute force.
