@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .shingles import SHINGLE_WORDS, WORD, mix, shingle_hashes
+from .shingles import SHINGLE_WORDS, WORD, batch_shingles, mix, shingle_hashes
 
 #: The part of an item's shingles that a document must hold.
 CONTAINMENT = 0.8
@@ -20,9 +20,10 @@ CONTAINMENT = 0.8
 MINIMA = 48
 #: Items are sent to all executors while they have at most so many minima; beyond it, minima are joined.
 MOST_SENT = 1_000_000
-#: Shingles of a document taken at a time.
-CHUNK = 1 << 14
-_SEEDS = mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+#: Shingles of which minima are taken at a time, to stay in the processor's cache, and shingles of a group of documents.
+CHUNK, GROUP = 1 << 14, 1 << 16
+#: Odd multipliers: each reorders the 32-bit shingle hashes, which are mixed well already.
+_FACTORS = (mix(np.arange(1, MINIMA + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def size_class(n: int) -> int:
@@ -30,35 +31,52 @@ def size_class(n: int) -> int:
     return max(n, 1).bit_length() - 1
 
 
+def item_minima(shingles: np.ndarray) -> np.ndarray:
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    return np.array([(short * f).min() for f in _FACTORS], np.uint64)
+
+
 def item_keys(shingles: np.ndarray) -> np.ndarray:
     """The minima of an item, told apart by size class and number."""
-    return _keyed(np.min(mix(np.unique(shingles)[:, None] ^ _SEEDS), axis=0)[None, :], size_class(len(np.unique(shingles))))[0]
+    return _keyed(item_minima(shingles), np.arange(MINIMA), size_class(len(np.unique(shingles))))
 
 
-def _keyed(minima: np.ndarray, cls: int) -> np.ndarray:
-    return mix(minima + (np.arange(MINIMA, dtype=np.uint64) * np.uint64(64) + np.uint64(cls)) * np.uint64(0x9E3779B97F4A7C15))
+def _keyed(minima: np.ndarray, nth: np.ndarray, cls: int) -> np.ndarray:
+    return mix(minima + (nth.astype(np.uint64) * np.uint64(64) + np.uint64(cls)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def window_keys(shingles: np.ndarray, classes: list[int]) -> np.ndarray:
-    """The minima of all windows of a document for the given size classes, distinct.
+def window_keys(shingled: list[np.ndarray], classes: list[int], passes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the minima of all windows of documents, and the number of the document of each.
 
-    Minima of blocks as long as the smallest class's stride are taken once; longer windows are minima of those.
+    Minima of blocks as long as the smallest class's stride are taken once, for all documents together; longer windows are
+    minima of those. passes[n, top], if given, tells which leading 16 bits of the n-th minimum are worth a key.
     """
-    if not len(shingles) or not classes:
-        return np.zeros(0, np.uint64)
-    step = 2 << min(classes)
-    blocks = []
-    for at in range(0, len(shingles), max(CHUNK // step, 1) * step):
-        part = shingles[at : at + max(CHUNK // step, 1) * step]
-        edges = np.arange(0, len(part), step)
-        # One hash function at a time keeps the work in the processor's cache.
-        blocks.append(np.stack([np.minimum.reduceat(mix(part ^ seed), edges) for seed in _SEEDS], axis=1))
-    level, out = np.concatenate(blocks), []
+    step, longest = 2 << min(classes), 2 << max(classes)
+    padded, of = [], []
+    for n, shingles in enumerate(shingled):
+        if len(shingles):
+            short = (shingles >> np.uint64(32)).astype(np.uint32)
+            padded += [short, np.repeat(short[-1:], -len(short) % longest)]
+            of.append(np.full(-(-len(short) // longest) * (longest // step), n))
+    if not of:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    across, of = np.concatenate(padded).reshape(-1, step).T, np.concatenate(of)
+    columns = max(CHUNK // step, 1)
+    level = np.empty((MINIMA, across.shape[1]), np.uint32)
+    for at in range(0, across.shape[1], columns):
+        part = np.ascontiguousarray(across[:, at : at + columns])  # a block is a column, so that minima are taken a row at a time
+        for n, factor in enumerate(_FACTORS):
+            level[n, at : at + columns] = (part * factor).min(axis=0)
+    keys, owners = [], []
     for cls in range(min(classes), max(classes) + 1):
         if cls in classes:
-            out.append(np.unique(_keyed(np.minimum(level, np.r_[level[1:], level[-1:]]), cls)))
-        level = np.minimum.reduceat(level, np.arange(0, len(level), 2), axis=0)
-    return np.unique(np.concatenate(out))
+            following = np.where(np.r_[of[1:] == of[:-1], False], np.c_[level[:, 1:], level[:, -1:]], level)
+            minima = np.minimum(level, following)
+            nth, block = np.nonzero(passes[np.arange(MINIMA)[:, None], minima >> np.uint32(16)]) if passes is not None else (x.ravel() for x in np.indices(minima.shape))
+            keys.append(_keyed(minima[nth, block].astype(np.uint64), nth, cls))
+            owners.append(of[block])
+        level, of = np.minimum(level[:, ::2], level[:, 1::2]) if cls < max(classes) else level, of[::2]
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 def contained(item: str, text_shingles: np.ndarray, text: str) -> float:
@@ -82,31 +100,42 @@ class _Search:
         keys_of = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(keys_of, kind="stable")
         self.keys, self.owner = keys_of[order], (order // MINIMA)
+        self.passes = np.zeros((MINIMA, 1 << 16), bool)
+        for _, _, s in shingled:
+            if len(s):
+                self.passes[np.arange(MINIMA), item_minima(s) >> np.uint64(16)] = True
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for ids, texts, shingled in _groups(batches) if self.items else ():
+            keys, of = window_keys(shingled, self.classes, self.passes)
+            low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
             found = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                if not text:
-                    continue
-                shingles = shingle_hashes(text)
-                keys = window_keys(shingles, self.classes)
-                low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-                hit = np.flatnonzero(high > low)
-                for n in sorted({int(o) for k in hit for o in self.owner[low[k] : high[k]]}):
-                    item_id, item = self.items[n]
-                    if (part := contained(item, shingles, text)) >= CONTAINMENT:
-                        found.append((doc_id, item_id, part))
+            for doc, n in sorted({(int(of[k]), int(o)) for k in np.flatnonzero(high > low) for o in self.owner[low[k] : high[k]]}):
+                item_id, item = self.items[n]
+                if (part := contained(item, shingled[doc], texts[doc])) >= CONTAINMENT:
+                    found.append((ids[doc], item_id, part))
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "containment"])
 
 
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str], list[np.ndarray]]]:
+    """Documents (ids, texts, shingles) in groups of about GROUP shingles, or one longer document."""
+    for batch in batches:
+        ids, texts, shingled, size = [], [], [], 0
+        for doc_id, text, shingles in zip(batch["doc_id"], batch["text"], batch_shingles(batch["text"]), strict=True):
+            if size and size + len(shingles) > GROUP:
+                yield ids, texts, shingled
+                ids, texts, shingled, size = [], [], [], 0
+            ids.append(doc_id), texts.append(text), shingled.append(shingles)
+            size += len(shingles)
+        if ids:
+            yield ids, texts, shingled
+
+
 def _document_keys(classes: list[int]):
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                if text:
-                    found = window_keys(shingle_hashes(text), classes)
-                    yield pd.DataFrame({"doc_id": np.repeat(np.int64(doc_id), len(found)), "key": found.view(np.int64)})
+        for ids, _, shingled in _groups(batches):
+            found, of = window_keys(shingled, classes)
+            yield pd.DataFrame({"doc_id": np.array(ids, np.int64)[of], "key": found.view(np.int64)}).drop_duplicates()
 
     return keys
 
@@ -144,7 +173,7 @@ def find_contaminated(docs: DataFrame, items: DataFrame, most_sent: int = MOST_S
     if items.count() * MINIMA <= most_sent:
         return docs.mapInPandas(_Search([tuple(r) for r in items.collect()]), schema).dropDuplicates(["doc_id", "item_id"])
     keys = materialise(items.mapInPandas(_item_keys, f"item_id {id_type}, key long, class int"), "item-keys")
-    classes = sorted(r[0] for r in keys.select("class").distinct().collect())
+    classes = sorted(r[0] for r in keys.select("class").distinct().collect()) or [0]
     met = docs.mapInPandas(_document_keys(classes), "doc_id long, key long").join(keys, "key").select("doc_id", "item_id").distinct()
     texts = met.join(docs, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id").select("doc_id", "text", "item_id", "item_text")
     return texts.mapInPandas(_verify, schema).groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 from .graph import components
-from .shingles import mix, weighted_elements
+from .shingles import batch_shingles, mix, weighted_elements
 
 SIMILARITY = 0.8
 #: Bands of ROWS coordinates. Texts of similarity 0.8 share none of the bands with probability (1 - 0.8^4)^24 = 3e-6.
@@ -66,15 +66,15 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         keys = []
-        for text in batch["text"]:
-            elements = weighted_elements(text)
+        for shingles in batch_shingles(batch["text"]):
+            elements = weighted_elements(shingles)
             keys.append(band_keys(dart_minhash(elements)) if len(elements) else None)
         yield batch[["doc_id", "node"]].assign(keys=keys)
 
 
 def _elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"node": batch["node"], "elements": [weighted_elements(t).view(np.int64) for t in batch["text"]]})
+        yield pd.DataFrame({"node": batch["node"], "elements": [weighted_elements(s).view(np.int64) for s in batch_shingles(batch["text"])]})
 
 
 def _verified(pairs: DataFrame, elements: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -15,6 +16,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Texts are taken in blocks of so many bytes, so that one long text needs little memory at a time.
 BLOCK = 1 << 20
+#: Bytes of short texts that are hashed together: few enough for the processor's cache.
+TOGETHER = 1 << 15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,8 +36,9 @@ def _powers(base: np.uint64) -> np.ndarray:
 _UP, _DOWN = _powers(_BASE), _powers(_INVERSE)
 
 
-def _block_hashes(raw: np.ndarray) -> np.ndarray:
-    """Hashes of the words of bytes that don't end within a word: polynomials over prefix sums modulo 2^64, finalised."""
+def _block_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of bytes that don't end within a word, and where each begins: polynomials over prefix sums
+    modulo 2^64, finalised."""
     inside = _IS_WORD[raw]
     edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
     first, end = edges[::2], edges[1::2]
@@ -42,14 +46,17 @@ def _block_hashes(raw: np.ndarray) -> np.ndarray:
     down = _DOWN if len(raw) < len(_DOWN) else np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(raw), _INVERSE, np.uint64)])
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
+    return mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64)), first
 
 
 def word_hashes(text: str) -> np.ndarray:
     """A hash for each word of the lower-cased text, in order."""
-    raw = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
+    return _hashes(np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8))
+
+
+def _hashes(raw: np.ndarray) -> np.ndarray:
     if len(raw) <= BLOCK:
-        return _block_hashes(raw)
+        return _block_hashes(raw)[0]
     out, at = [], 0
     while at < len(raw):
         end = min(at + BLOCK, len(raw))
@@ -59,7 +66,7 @@ def word_hashes(text: str) -> np.ndarray:
                 end = min(end + BLOCK, len(raw))
                 gaps = np.flatnonzero(~_IS_WORD[raw[at:end]])
             end = at + gaps[-1] + 1 if len(gaps) and end < len(raw) else end
-        out.append(_block_hashes(raw[at:end]))
+        out.append(_block_hashes(raw[at:end])[0])
         at = end
     return np.concatenate(out)
 
@@ -69,7 +76,10 @@ _PLACES = [np.uint64(pow(0xD6E8FEB86659FD93, n + 1, 1 << 64)) for n in range(SHI
 
 def shingle_hashes(text: str) -> np.ndarray:
     """A hash for each run of SHINGLE_WORDS words, in order; none for shorter texts."""
-    words = word_hashes(text)
+    return _runs(word_hashes(text))
+
+
+def _runs(words: np.ndarray) -> np.ndarray:
     n = len(words) - SHINGLE_WORDS + 1
     if n < 1:
         return np.zeros(0, np.uint64)
@@ -79,12 +89,39 @@ def shingle_hashes(text: str) -> np.ndarray:
     return mix(total)
 
 
-def weighted_elements(text: str) -> np.ndarray:
+def batch_shingles(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """shingle_hashes of each text (null: as empty); short texts are hashed together, which takes fewer calls."""
+    waiting: list[bytes] = []
+    size = 0
+    for text in texts:
+        raw = (text or "").lower().encode("utf-8", "replace")
+        if size + len(raw) > TOGETHER:
+            yield from _together(waiting)
+            waiting, size = [], 0
+        waiting.append(raw)
+        size += len(raw) + 1
+    yield from _together(waiting)
+
+
+def _together(raws: list[bytes]) -> Iterator[np.ndarray]:
+    if len(raws) == 1:
+        yield _runs(_hashes(np.frombuffer(raws[0], np.uint8)))
+    elif raws:
+        joined = np.frombuffer(b"\n".join(raws), np.uint8)
+        words, first = _block_hashes(joined)
+        ends = np.searchsorted(first, np.cumsum([len(r) + 1 for r in raws]))
+        runs, start = _runs(words), 0
+        for end in ends:
+            yield runs[start : max(end - SHINGLE_WORDS + 1, start)]
+            start = end
+
+
+def weighted_elements(shingles: np.ndarray) -> np.ndarray:
     """Shingles as a weighted set in unit parts: the n-th occurrence of a shingle is a part of its own. Sorted, distinct.
 
     The Jaccard similarity of such sets is the weighted one of the shingles' counts.
     """
-    found = np.sort(shingle_hashes(text))
+    found = np.sort(shingles)
     if not len(found):
         return found
     starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
