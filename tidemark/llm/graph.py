@@ -24,3 +24,15 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", "label")
         if moved.filter("old <> label").isEmpty():
             return labels
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, label) after more edges (a, b), of which there may be few: only the components they touch are joined."""
+    ends = labels.toDF("end", "of")
+    at = edges.join(ends, edges["a"] == ends["end"], "left").select(F.coalesce("of", "a").alias("a"), "b")
+    between = at.join(ends, at["b"] == ends["end"], "left").select("a", F.coalesce("of", "b").alias("b")).filter("a <> b").distinct()
+    moves = components(between)
+    new = moves.select("node").join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    to = moves.toDF("from", "to")
+    every = labels.unionByName(new)
+    return materialise(every.join(to, every["label"] == to["from"], "left").select("node", F.coalesce("to", "label").alias("label")), "labels")

@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .graph import components
+from .graph import components, merged
 from .shingles import batch_shingles, mix, weighted_elements
 
 SIMILARITY = 0.8
 #: Bands of ROWS coordinates. Texts of similarity 0.8 share none of the bands with probability (1 - 0.8^4)^24 = 3e-6.
 BANDS, ROWS = 24, 4
+#: Bytes of the sketch that second comparisons are chosen by, and how many must agree: of similarity 0.8 one in 5,000 pairs has fewer.
+SKETCH, AGREE = 256, 0.71
+#: Members of a bucket that are compared with each other at a time, and choices of a text in the rounds before the last.
+BLOCK, CHOICES, ROUNDS_OF_CHOICES = 1024, 2, 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -33,7 +37,7 @@ def dart_minhash(elements: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
     rank0 = _gap(first)
     while True:
         near = np.flatnonzero(rank0 < limit)
-        n = int(limit + 6 * math.sqrt(limit)) + 8
+        n = int(limit + 3 * math.sqrt(limit)) + 3
         while True:
             darts = mix(elements[near][:, None] + np.arange(1, n + 1, dtype=np.uint64) * _STEP)
             ranks = np.cumsum(_gap(darts), axis=1)
@@ -74,7 +78,67 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"node": batch["node"], "elements": [weighted_elements(s).view(np.int64) for s in batch_shingles(batch["text"])]})
+        sets = [weighted_elements(s) for s in batch_shingles(batch["text"])]
+        sketches = [dart_minhash(e, SKETCH).astype(np.uint8).tobytes() for e in sets]
+        yield pd.DataFrame({"node": batch["node"], "elements": [e.view(np.int64) for e in sets], "sketch": sketches})
+
+
+class _Choose:
+    """For mapInPandas over members sorted by block: pairs of texts of different components whose sketches agree.
+
+    A pair is looked at in the first band that it shares. best: only the best choices of each text, else all.
+    """
+
+    def __init__(self, best: bool):
+        self.best = best
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting = None
+        for batch in batches:
+            batch = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+            if not len(batch):
+                continue
+            place = batch[["bucket", "low", "high"]].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(axis=1)])
+            for first, end in zip(starts[:-1], starts[1:], strict=True):
+                yield from self.block(batch.iloc[first:end])
+            waiting = batch.iloc[starts[-1] :]
+        if waiting is not None and len(waiting):
+            yield from self.block(waiting)
+
+    def block(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        node, label, part = (rows[c].to_numpy() for c in ("node", "label", "part"))
+        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
+        codes = np.stack(rows["codes"])
+        band = int(np.argmax(codes[0] == rows["bucket"].iloc[0] >> 32))
+        one = rows["low"].iloc[0] == rows["high"].iloc[0]
+        a, b = [], []
+        for i in range(len(rows)):
+            other = np.flatnonzero((label != label[i]) & (node > node[i] if not self.best else node != node[i]) & (one | (part != part[i])))
+            if len(other):
+                other = other[np.argmax(codes[other] == codes[i], axis=1) == band]
+            if len(other):
+                agree = (sketch[other] == sketch[i]).mean(axis=1)
+                if self.best:
+                    keep = np.argsort(-agree, kind="stable")[:CHOICES]
+                    other, agree = other[keep], agree[keep]
+                other = other[agree >= AGREE]
+                a.append(np.full(len(other), node[i])), b.append(node[other])
+        if a:
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _chosen(members: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) of members (bucket, n, node, codes, sketch) of a bucket to compare, given the components so far."""
+    placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("bucket")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    part = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    spread = placed.join(mixed, "bucket").withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = spread.select("bucket", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "node", "label", "codes", "sketch")
+    sorted_ = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    return sorted_.mapInPandas(_Choose(best), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, elements: DataFrame) -> DataFrame:
@@ -93,9 +157,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     empty one; rows with null doc_id belong to classes but name none unless all are null. Repeated rows are rows of a class.
 
     Equal texts are one node from the start. In each bucket of a band all texts are compared with the smallest one, the
-    leader, which makes a row per text and bucket whatever the bucket's size, and links the rest of a group through it. A text
-    that is not near the leader may still be near others there; by the triangle inequality only to those whose distance
-    from the leader differs by at most 0.2. These pairs are compared too, unless already in one component: nothing is lost.
+    leader, which makes a row per text and bucket whatever the bucket's size, and links the rest of a group through it. Where a
+    bucket still holds several components, texts of different ones are compared, chosen by sketches of 256 bytes: in rounds
+    first, each text with its best choices only, which joins most components; at last all that are left. So a large group
+    costs pairs only between the components that it truly has. Large buckets are compared block by block.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("node"))
@@ -103,31 +168,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     signed = materialise(rows.mapInPandas(_sign, f"doc_id {id_type}, node long, keys array<long>"), "signed")
     texts = materialise(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys")), "texts")
     buckets = texts.select("node", F.explode("keys").alias("bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = materialise(buckets.join(leaders, "bucket"), "members")
+    leaders = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    members = materialise(buckets.join(leaders.hint("shuffle_hash"), "bucket"), "members")
     pairs = members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
 
     wanted = pairs.select("a").union(pairs.select("b")).distinct().join(texts.select("node", "first_id"), F.col("a") == F.col("node")).select("node", "first_id")
     same = (rows["node"] == wanted["node"]) & rows["doc_id"].eqNullSafe(wanted["first_id"])
-    # Dealt by text and document, so that a text with many copies is no hot key; the rows of one document are equal.
-    elements = materialise(rows.join(wanted.hint("shuffle_hash"), same, "left_semi").select("node", "text").mapInPandas(_elements, "node long, elements array<long>"), "elements")
-    elements = elements.dropDuplicates(["node"]) if elements.count() > wanted.count() else elements
-    distances = materialise(_verified(pairs, elements), "distances")
-    near = distances.filter(F.col("distance") <= 1 - SIMILARITY + 1e-9)
-    labels = components(near.select("a", "b"))
-
-    far = distances.filter(F.col("distance") > 1 - SIMILARITY + 1e-9)
-    if not far.isEmpty():
-        placed = members.join(distances, (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b")), "left").select("bucket", "node", F.coalesce("distance", F.lit(0.0)).alias("distance"))
-        placed = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        odd = placed.filter(F.col("distance") > 1 - SIMILARITY + 1e-9).select("bucket", F.col("node").alias("a"), F.col("distance").alias("d"), F.col("label").alias("l"))
-        others = placed.select("bucket", F.col("node").alias("b"), F.col("distance").alias("e"), F.col("label").alias("m"))
-        reach = (F.abs(F.col("d") - F.col("e")) <= 1 - SIMILARITY + 1e-9) & (F.col("e") > 0) & (F.col("l") != F.col("m"))
-        more = odd.join(others, (odd["bucket"] == others["bucket"]) & reach).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = materialise(_verified(more, elements).filter(F.col("distance") <= 1 - SIMILARITY + 1e-9).select("a", "b"), "found")
-        if not found.isEmpty():
-            labels = components(near.select("a", "b").union(found))
+    # Dealt by text and document, so that a text with many copies is no hot key; rows that repeat a document are dropped after.
+    elements = rows.join(wanted.hint("shuffle_hash"), same, "left_semi").select("node", "text").mapInPandas(_elements, "node long, elements array<long>, sketch binary")
+    elements = materialise(elements, "elements")
+    if elements.count() > pairs.select("a").union(pairs.select("b")).distinct().count():
+        elements = elements.dropDuplicates(["node"])
+    distances = materialise(_verified(pairs, elements.select("node", "elements")), "distances")
+    near = F.col("distance") <= 1 - SIMILARITY + 1e-9
+    labels = components(distances.filter(near).select("a", "b"))
+
+    # In buckets of two the only pair is known; texts near their leader are in its component.
+    several = members.filter("n > 2").select("bucket", "n", "node")
+    marked = several.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = marked.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("bucket")
+    codes = texts.select("node", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("codes"))
+    open_ = materialise(several.join(mixed, "bucket").join(codes, "node").join(elements.select("node", "sketch"), "node"), "open")
+    for best in [True] * ROUNDS_OF_CHOICES + [False] if not open_.isEmpty() else ():
+        chosen = _chosen(open_, labels, best).join(distances.select("a", "b"), ["a", "b"], "left_anti")
+        found = materialise(_verified(chosen, elements.select("node", "elements")), "found")
+        distances = distances.unionByName(found)
+        fresh = found.filter(near).select("a", "b")
+        if not fresh.isEmpty():
+            labels = merged(labels, fresh)
 
     classed = texts.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = classed.groupBy("label").agg(F.min("first_id").alias("class_id"))
