@@ -195,11 +195,12 @@ def replace_pii(docs: DataFrame, key_column: str = "doc_id", text: str = "text",
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda s: s["value"])
     whole = told.groupBy("doc", "hash", "at", "match", "form").agg(ordered(F.struct("nth", F.col("surrogate").alias("value"))).alias("parts"))
     rendered = whole.select("doc", "hash", F.struct("at", _render(F.col("match"), F.col("form"), F.col("parts")).alias("value")).alias("new"))
-    by_text = materialise(rendered.groupBy("doc", "hash").agg(ordered(F.col("new")).alias("_pii_new")), "replacements")
+    by_text = rendered.groupBy("doc", "hash").agg(ordered(F.col("new")).alias("_pii_new"))
+    by_text = materialise(by_text.withColumnsRenamed({"doc": "_pii_doc", "hash": "_pii_text"}), "replacements")
 
     without = marked.filter("_pii_found = 0").drop("_pii_hash")
     holding = marked.filter("_pii_found > 0")
-    same = holding[key_column].eqNullSafe(by_text["doc"]) & (holding["_pii_hash"] == by_text["hash"])
+    same = holding[key_column].eqNullSafe(by_text["_pii_doc"]) & (holding["_pii_hash"] == by_text["_pii_text"])
     pieces = F.split(F.col(text), PATTERN, -1)
     joined = F.array_join(F.flatten(F.zip_with(pieces, "_pii_new", lambda p, n: F.array(p, F.coalesce(n, F.lit(""))))), "")
     replaced = holding.join(by_text, same).withColumn(text, joined).select(*docs.columns, "_pii_found")
