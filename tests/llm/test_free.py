@@ -194,6 +194,6 @@ def test_pipeline(spark, tmp_path):
         df = spark.read.parquet(f"{tmp_path}/out{len(seen)}")
         seen.append({r["doc_id"] for r in df.select("doc_id").collect()})
     assert [s for s, _ in corpus_pipeline.STAGES] == ["toxicity", "neardup", "decontamination", "mixing", "sharding"]
-    assert 102 not in seen[0] and len(seen[0]) == 68 + 2 and {100, 101} & seen[1] == set() and seen[1] - seen[2] == {103}
+    assert 102 not in seen[0] and len(seen[0]) == 64 and {100, 101} & seen[1] == set() and seen[1] - seen[2] == {103}
     shards = corpus_pipeline.run(spark, str(tmp_path))
     assert shards.count() == df.count() and {r["doc_id"] for r in shards.collect()} == seen[3] <= seen[2]

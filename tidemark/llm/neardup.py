@@ -15,12 +15,12 @@ from .graph import components, merged
 from .shingles import batch_shingles, mix, weighted_elements
 
 SIMILARITY = 0.8
-#: Bands of ROWS coordinates. Texts of similarity 0.8 share none of the bands with probability (1 - 0.8^4)^24 = 3e-6.
-BANDS, ROWS = 24, 4
+#: Bands of ROWS coordinates. Texts of similarity 0.8 share none of the bands with probability (1 - 0.8^4)^20 = 3e-5.
+BANDS, ROWS = 20, 4
 #: Bytes of the sketch that second comparisons are chosen by, and how many must agree: of similarity 0.8 one in 5,000 pairs has fewer.
 SKETCH, AGREE = 256, 0.71
 #: Members of a bucket that are compared with each other at a time, and choices of a text in the rounds before the last.
-BLOCK, CHOICES, ROUNDS_OF_CHOICES = 1024, 2, 2
+BLOCK, CHOICES, ROUNDS_OF_CHOICES = 1024, 2, 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,10 +47,11 @@ def dart_minhash(elements: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
         thrown = ranks < limit
         darts, ranks = darts[thrown], ranks[thrown]
         coordinate = mix(darts ^ np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(k)
-        order = np.argsort(ranks, kind="stable")
-        filled, earliest = np.unique(coordinate[order], return_index=True)
-        if len(filled) == k:
-            return darts[order[earliest]]
+        order = np.argsort(-ranks)  # of darts written to one place the last stays, which is the earliest
+        signature, filled = np.zeros(k, np.uint64), np.zeros(k, bool)
+        signature[coordinate[order]], filled[coordinate] = darts[order], True
+        if filled.all():
+            return signature
         limit *= 2
 
 
@@ -178,7 +179,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # Dealt by text and document, so that a text with many copies is no hot key; rows that repeat a document are dropped after.
     elements = rows.join(wanted.hint("shuffle_hash"), same, "left_semi").select("node", "text").mapInPandas(_elements, "node long, elements array<long>, sketch binary")
     elements = materialise(elements, "elements")
-    if elements.count() > pairs.select("a").union(pairs.select("b")).distinct().count():
+    if elements.count() > elements.select("node").distinct().count():
         elements = elements.dropDuplicates(["node"])
     distances = materialise(_verified(pairs, elements.select("node", "elements")), "distances")
     near = F.col("distance") <= 1 - SIMILARITY + 1e-9

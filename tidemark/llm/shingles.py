@@ -117,7 +117,7 @@ def _together(raws: list[bytes]) -> Iterator[np.ndarray]:
 
 
 def weighted_elements(shingles: np.ndarray) -> np.ndarray:
-    """Shingles as a weighted set in unit parts: the n-th occurrence of a shingle is a part of its own. Sorted, distinct.
+    """Shingles as a weighted set in unit parts: the n-th occurrence of a shingle is a part of its own. Distinct.
 
     The Jaccard similarity of such sets is the weighted one of the shingles' counts.
     """
@@ -126,4 +126,4 @@ def weighted_elements(shingles: np.ndarray) -> np.ndarray:
         return found
     starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
     nth = np.arange(len(found)) - np.repeat(starts, np.diff(np.r_[starts, len(found)]))
-    return np.unique(mix(found + nth.astype(np.uint64) * _BASE))
+    return mix(found + nth.astype(np.uint64) * _BASE)
