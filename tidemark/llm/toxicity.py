@@ -91,7 +91,7 @@ def features(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """At most `rows` labelled rows (text, toxic), the first by a hash of doc_id; the ids alone are sorted and broadcast."""
-    learnt = labels.select("doc_id", "toxic").dropna().filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    learnt = labels.select("doc_id", "toxic").dropna().filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     picked = learnt.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # Copies of a text with the same label teach once.
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter("text is not null").select("text", "toxic", F.xxhash64("text").alias("hash"))
