@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,7 +149,7 @@ def scan_point(df: DataFrame, key: str, value) -> DataFrame:
 
 
 class Catalog:
-    """Tables by name under one folder; those that are open, and any that the folder holds."""
+    """Tables by name under one folder."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -178,11 +177,3 @@ class Catalog:
         for name, t in self._open.items():
             t.read().createOrReplaceTempView(name)
         return self.spark.sql(query)
-
-
-def is_table(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(f"{path}/log")
-        return True
-    except AnalysisException:
-        return False
