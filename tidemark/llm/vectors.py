@@ -125,10 +125,10 @@ class _Encoder:
 
 
 class _Scan:
-    """For cogrouped blocks of queries and codes: the RERANK best of the block for each query by table sums."""
+    """For cogrouped blocks of queries and codes: the best of the block for each query by table sums, `most` of them."""
 
-    def __init__(self, books: Codebooks, rerank: int):
-        self.books, self.rerank = books, rerank
+    def __init__(self, books: Codebooks, most: int):
+        self.books, self.most = books, most
 
     def __call__(self, queries: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(codes):
@@ -152,9 +152,9 @@ class _Scan:
             for m in range(pairs):
                 rough += look_up[m][by_pair[m]]
             rough = base[near] + length * rough
-            if len(ids) > self.rerank:
-                least = np.partition(rough, -self.rerank)[-self.rerank]
-                best = np.r_[np.flatnonzero(rough > least), np.flatnonzero(rough == least)][: self.rerank]
+            if len(ids) > self.most:
+                least = np.partition(rough, -self.most)[-self.most]
+                best = np.r_[np.flatnonzero(rough > least), np.flatnonzero(rough == least)][: self.most]
             else:
                 best = np.arange(len(ids))
             out_q.append(np.full(len(best), query_id)), out_v.append(ids[best]), out_s.append(rough[best])
@@ -179,7 +179,7 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
 
     The codebooks are fitted on SAMPLE vectors, the first by a hash of their ids; every vector is encoded and scanned. Blocks of
     queries meet blocks of codes, four bits per two dimensions; the `rerank` best of all blocks are scored on the original
-    vectors. Ties go to the smaller vec_id. Rows that aren't usable take no part, nor do vectors of a length other than the
+    vectors, each block sending its likely share of them. Ties go to the smaller vec_id. Rows that aren't usable take no part, nor do vectors of a length other than the
     commonest; rows that repeat a vec_id count once, with the smallest vector; fewer candidates than k give fewer rows.
 
     Equal vectors have equal scores, so only the k + 1 smallest ids of each can be found, and only they are scanned; Spark
@@ -208,7 +208,9 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
 
     left = queries.withColumns({"qb": block(query_blocks), "cb": F.explode(F.sequence(F.lit(0), F.lit(code_blocks - 1)))})
     right = codes.withColumns({"cb": block(code_blocks), "qb": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))})
-    scan = _Scan(books, rerank)
+    # Blocks are dealt by a hash, so the best ones of a query fall evenly on them: a block's share and four deviations more.
+    share = rerank / code_blocks
+    scan = _Scan(books, min(rerank, math.ceil(share + 4 * math.sqrt(share) + 4)))
     met = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(lambda q, c: scan(q, c), "query_id long, vec_id long, rough double")
     best = met.filter("query_id <> vec_id").withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id"))).filter(F.col("n") <= rerank)
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
