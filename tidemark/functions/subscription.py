@@ -75,7 +75,8 @@ def route(events: DataFrame, subscriptions: Sequence[Subscription], rows: T.Stru
             ids = F.array_compact(F.array(*[F.when(F.coalesce(matches(s, rows), F.lit(False)), F.lit(s.id)) for s in own[at : at + CHUNK]]))
             hits.append(ids if name is None else F.when(F.col(table) == name, ids).otherwise(F.array().cast("array<string>")))
     found = F.concat(*hits) if hits else F.array().cast("array<string>")
-    return events.withColumn("subscription", F.explode(found))
+    # The outer form is planned without a test of the list's length first, which would evaluate every predicate twice.
+    return events.withColumn("subscription", F.explode_outer(found)).filter(F.col("subscription").isNotNull())
 
 
 def route_thresholds(events: DataFrame, thresholds: DataFrame, value: str = "value") -> DataFrame:
