@@ -213,12 +213,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     left = docs.withColumn("_node", node)
     left = left.join(gone, (left["_node"] == gone["_gone"]) & left[key].eqNullSafe(gone["_id"]), "left_anti")
     named = classed.filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    # Rows that repeat a document, or a doc_id used for two texts of a class: one of them stays.
+    # Of rows that repeat a document one stays; texts of different classes may share a doc_id, and so a class_id.
     twice = materialise(named.groupBy("doc_id", "class_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_twice")), "twice")
     if twice.isEmpty():
         return left.drop("_node")
     again = left[key].eqNullSafe(twice["_twice"])
-    unique = left.join(twice, again, "left_semi").dropDuplicates([key] if not twice.filter("_twice is null").count() else [key, "_node"])
+    unique = left.join(twice, again, "left_semi").dropDuplicates([key, "_node"])
     return left.join(twice, again, "left_anti").unionByName(unique).drop("_node")
 
 
