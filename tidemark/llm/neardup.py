@@ -17,8 +17,9 @@ from .shingles import batch_shingles, mix, weighted_elements
 SIMILARITY = 0.8
 #: Bands of ROWS coordinates. Texts of similarity 0.8 share none of the bands with probability (1 - 0.8^4)^20 = 3e-5.
 BANDS, ROWS = 20, 4
-#: Bytes of the sketch that second comparisons are chosen by, and how many must agree: of similarity 0.8 one in 5,000 pairs has fewer.
-SKETCH, AGREE = 256, 0.71
+#: Bytes of the sketch that second comparisons are chosen by, and the part that must agree: of similarity 0.8 one in 5,000 pairs
+#: has fewer. Most pairs are told apart by the first bytes alone; there, one in 10,000 pairs has fewer.
+SKETCH, AGREE, FIRST, FIRST_AGREE = 1024, 0.756, 256, 0.705
 #: Members of a bucket that are compared with each other at a time, and choices of a text in the rounds before the last.
 BLOCK, CHOICES, ROUNDS_OF_CHOICES = 1024, 2, 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -110,6 +111,7 @@ class _Choose:
     def block(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         node, label, part = (rows[c].to_numpy() for c in ("node", "label", "part"))
         sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
+        first = np.ascontiguousarray(sketch[:, :FIRST])
         codes = np.stack(rows["codes"])
         band = int(np.argmax(codes[0] == rows["bucket"].iloc[0] >> 32))
         one = rows["low"].iloc[0] == rows["high"].iloc[0]
@@ -119,6 +121,7 @@ class _Choose:
             if len(other):
                 other = other[np.argmax(codes[other] == codes[i], axis=1) == band]
             if len(other):
+                other = other[(first[other] == first[i]).mean(axis=1) >= FIRST_AGREE]
                 agree = (sketch[other] == sketch[i]).mean(axis=1)
                 if self.best:
                     keep = np.argsort(-agree, kind="stable")[:CHOICES]
@@ -127,7 +130,7 @@ class _Choose:
                 a.append(np.full(len(other), node[i])), b.append(node[other])
         if a:
             a, b = np.concatenate(a), np.concatenate(b)
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            yield pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})  # as links to leaders are written
 
 
 def _chosen(members: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
@@ -150,6 +153,13 @@ def _verified(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     return met.select("a", "b", (1 - F.col("common") / (F.size("of_a") + F.size("of_b") - F.col("common"))).alias("distance"))
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are in different components so far."""
+    ends = labels.toDF("end", "of")
+    at = pairs.join(ends, pairs["a"] == ends["end"], "left").select("a", "b", F.coalesce("of", "a").alias("of_a"))
+    return at.join(ends, at["b"] == ends["end"], "left").filter(F.col("of_a") != F.coalesce("of", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, node (a 64-bit hash of the text), class_id (the smallest doc_id of the class).
 
@@ -157,11 +167,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes are the connected components. Texts of fewer than five words are only linked to equal ones; a null text is as an
     empty one; rows with null doc_id belong to classes but name none unless all are null. Repeated rows are rows of a class.
 
-    Equal texts are one node from the start. In each bucket of a band all texts are compared with the smallest one, the
-    leader, which makes a row per text and bucket whatever the bucket's size, and links the rest of a group through it. Where a
-    bucket still holds several components, texts of different ones are compared, chosen by sketches of 256 bytes: in rounds
-    first, each text with its best choices only, which joins most components; at last all that are left. So a large group
-    costs pairs only between the components that it truly has. Large buckets are compared block by block.
+    Equal texts are one node from the start. Each text is compared with the smallest text of all its buckets first, then with
+    the smallest of each bucket, its leader, unless both are in one component by then: few rows whatever a bucket's size, and
+    the rest of a group is linked through its leaders. Where a bucket still holds several components, texts of different ones
+    are compared, chosen by sketches of 1,024 bytes: in rounds first, each text with its best choices only, which joins most
+    components; at last all that are left. So a large group costs pairs only between the components that it truly has. Large
+    buckets are compared block by block.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("node"))
@@ -171,21 +182,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     buckets = texts.select("node", F.explode("keys").alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     members = materialise(buckets.join(leaders.hint("shuffle_hash"), "bucket"), "members")
-    pairs = members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    pairs = materialise(pairs, "pairs")
+    links = members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    links = materialise(links, "links")
 
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().join(texts.select("node", "first_id"), F.col("a") == F.col("node")).select("node", "first_id")
+    wanted = links.select("a").union(links.select("b")).distinct().join(texts.select("node", "first_id"), F.col("a") == F.col("node")).select("node", "first_id")
     same = (rows["node"] == wanted["node"]) & rows["doc_id"].eqNullSafe(wanted["first_id"])
     # Dealt by text and document, so that a text with many copies is no hot key; rows that repeat a document are dropped after.
     elements = rows.join(wanted.hint("shuffle_hash"), same, "left_semi").select("node", "text").mapInPandas(_elements, "node long, elements array<long>, sketch binary")
     elements = materialise(elements, "elements")
     if elements.count() > elements.select("node").distinct().count():
         elements = elements.dropDuplicates(["node"])
-    distances = materialise(_verified(pairs, elements.select("node", "elements")), "distances")
+    sets = elements.select("node", "elements")
     near = F.col("distance") <= 1 - SIMILARITY + 1e-9
+    distances = materialise(_verified(links.groupBy("a").agg(F.min("b").alias("b")), sets), "distances")
     labels = components(distances.filter(near).select("a", "b"))
-
-    # In buckets of two the only pair is known; texts near their leader are in its component.
+    others = links.join(distances.select("a", "b"), ["a", "b"], "left_anti")
+    found = materialise(_verified(_apart(others, labels), sets), "found")
+    distances = distances.unionByName(found)
+    fresh = found.filter(near).select("a", "b")
+    if not fresh.isEmpty():
+        labels = merged(labels, fresh)
+
+    # In buckets of two the only pair is known or needless; texts near their leader are in its component.
     several = members.filter("n > 2").select("bucket", "n", "node")
     marked = several.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = marked.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("bucket")
@@ -193,7 +211,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     open_ = materialise(several.join(mixed, "bucket").join(codes, "node").join(elements.select("node", "sketch"), "node"), "open")
     for best in [True] * ROUNDS_OF_CHOICES + [False] if not open_.isEmpty() else ():
         chosen = _chosen(open_, labels, best).join(distances.select("a", "b"), ["a", "b"], "left_anti")
-        found = materialise(_verified(chosen, elements.select("node", "elements")), "found")
+        found = materialise(_verified(chosen, sets), "found")
         distances = distances.unionByName(found)
         fresh = found.filter(near).select("a", "b")
         if not fresh.isEmpty():
