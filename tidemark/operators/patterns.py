@@ -63,6 +63,34 @@ def expired(df: DataFrame, state: str, ts: str, ttl: dict[str, str], now: Column
     return df.filter(late)
 
 
+#: Rows of a sample per bucket of `numbered`.
+SAMPLE_PER_BUCKET = 50
+
+
+def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
+    """Every row with its place from 1 in the order of a column over the whole table, in two steps and never in one task.
+
+    The bounds of the buckets come from a sample, and a row's bucket from its own value, so bounds weigh on the balance only.
+    Places are ranks within a bucket plus the counts of the buckets before.
+    """
+    keyed = df.withColumn("_order", order)
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = min(1.0, SAMPLE_PER_BUCKET * buckets / max(df.count(), 1))
+    sample = keyed.select("_order").dropna().sample(share, 1).orderBy("_order").collect()
+    bounds = [sample[len(sample) * n // buckets][0] for n in range(1, buckets)] if sample else []
+    if not bounds:
+        bucket = F.lit(0)
+    else:
+        bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("_order")))
+    placed = keyed.withColumn("_bucket", bucket)
+    counts, before, upto = {r["_bucket"]: r["count"] for r in placed.groupBy("_bucket").count().collect()}, {}, 0
+    for n in sorted(counts):
+        before[n], upto = upto, upto + counts[n]
+    start = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair]), F.col("_bucket").cast("long")) if before else F.lit(0)
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_order"))
+    return placed.withColumn(name, (start + rank).cast("long")).drop("_order", "_bucket")
+
+
 def percentile_nearest(df: DataFrame, group: str, value: str, p: float) -> DataFrame:
     """The value at place floor(p n), from 0, of n sorted ones, by group. Ranked by a window, not gathered in a list."""
     ranked = df.withColumns({"_at": F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1, "_n": F.count("*").over(Window.partitionBy(group))})

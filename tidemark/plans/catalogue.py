@@ -443,10 +443,8 @@ def epochs(spark, d):
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey % 7, p_partkey) AS place FROM part WHERE p_partkey <= 200")
 def version_compare_sort(spark, d):
-    from pyspark.sql import Window
-
     v = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 7).cast("string"), F.col("p_partkey").cast("string"))
-    return t(spark, d, "part").filter("p_partkey <= 200").select("p_partkey", F.row_number().over(Window.orderBy(version_parts(v))).cast("long").alias("place"))
+    return P.numbered(t(spark, d, "part"), version_parts(v), "place").select("p_partkey", "place")
 
 
 @query("SELECT event_type, list_sort(list(value))[least(floor(0.99 * count(*)), count(*) - 1)::BIGINT + 1] AS percentile FROM events GROUP BY 1")
