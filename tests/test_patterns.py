@@ -1,5 +1,7 @@
 """Ranks and averages over whole tables against plain Python."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import patterns
@@ -17,3 +19,41 @@ def test_every_part_has_a_place(spark, tmp_path):
 def test_ranks_stay_apart(spark):
     plan = patterns.numbered(spark.range(1000), F.col("id"), "place")._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_percentile_of_whole_groups(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.choice([None, 1.5, rng.random(), float(rng.randint(0, 9))])) for g in ("a", "b", None) for _ in range(1000)] + [("few", 2.0), ("none", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for p in (0.0, 0.2, 0.5, 0.99, 1.0):
+        want = {}
+        for g in {g for g, _ in rows}:
+            of = sorted((v for k, v in rows if k == g), key=lambda v: (v is not None, v or 0))
+            want[g] = of[min(int(p * len(of)), len(of) - 1)]
+        got = patterns.percentile_nearest(df, "g", "v", p).collect()
+        assert {r["g"]: r["percentile"] for r in got} == want and len(got) == len(want)
+
+
+def test_percentile_ranks_only_a_range(spark):
+    rows = spark.range(0, 20_000, 1, 4).select(F.lit("one").alias("g"), F.col("id").cast("double").alias("v"))
+    got = patterns.percentile_nearest(rows, "g", "v", 0.99)
+    assert got.collect()[0]["percentile"] == 19_800.0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+
+
+def test_average_of_a_long_group(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        rng = random.Random(4)
+        big = 2**60 + 1
+        rows = [(rng.choice([big, big, None, 1, 2]), i, float(rng.randint(-50, 50))) for i in range(3000)] + [(7, 1, 5.0), (7, 2, None), (7, 3, 8.0)]
+        want = {}
+        for g, _, v in rows:
+            want[g] = None if v is None or want.get(g, 0) is None else (want.get(g, 0) * 9 + int(v)) // 10
+        df = patterns.moving_average(spark.createDataFrame(rows, "g long, i long, v double").repartition(3), "g", "i", "v")
+        got = df.collect()
+        assert {r["g"]: r["average"] for r in got} == want and len(got) == len(want)
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def around(cx: str = "cx", cy: str = "cy", reach: int = 1) -> Column:
@@ -91,16 +93,62 @@ def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
     return placed.withColumn(name, (start + rank).cast("long")).drop("_order", "_bucket")
 
 
+#: How far from the wanted part the bounds of the range lie that `percentile_nearest` ranks, and the accuracy of those bounds.
+NEAR, ACCURACY = 0.001, 10_000
+
+
 def percentile_nearest(df: DataFrame, group: str, value: str, p: float) -> DataFrame:
-    """The value at place floor(p n), from 0, of n sorted ones, by group. Ranked by a window, not gathered in a list."""
-    ranked = df.withColumns({"_at": F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1, "_n": F.count("*").over(Window.partitionBy(group))})
-    return ranked.filter(F.col("_at") == F.least(F.floor(F.lit(p) * F.col("_n")), F.col("_n") - 1)).select(group, F.col(value).alias("percentile"))
+    """The value at place floor(p n), from 0, of n sorted ones (nulls first), by group; a group's values are never in one task.
+
+    Values are counted, the counts of three ranges of each group summed, and only the range that holds the place is ranked. Its
+    bounds are approximate percentiles; wherever they lie, the place is exact.
+    """
+    rows = df.select(F.col(group).alias("_group"), F.col(value).alias("_value"))
+    counted = rows.groupBy("_group", "_value").agg(F.count("*").alias("_n"))
+    bounds = rows.groupBy("_group").agg(F.percentile_approx("_value", [max(p - NEAR, 0.0), min(p + NEAR, 1.0)], ACCURACY).alias("_bounds")).withColumnRenamed("_group", "_of")
+    within = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col("_value"))), F.lit(0))
+    ranged = counted.join(bounds, counted["_group"].eqNullSafe(bounds["_of"])).select("_group", "_value", "_n", within.alias("_range"))
+    one = Window.partitionBy("_group")
+    sums = ranged.groupBy("_group", "_range").agg(F.sum("_n").alias("_n"))
+    sums = sums.withColumns({"_before": F.sum("_n").over(one.orderBy("_range")) - F.col("_n"), "_all": F.sum("_n").over(one)})
+    place = F.least(F.floor(F.lit(p) * F.col("_all")), F.col("_all") - 1)
+    holds = sums.filter((F.col("_before") <= place) & (place < F.col("_before") + F.col("_n")))
+    holds = holds.select(F.col("_group").alias("_of"), F.col("_range").alias("_held"), (place - F.col("_before")).alias("_at"))
+    left = ranged.join(holds, ranged["_group"].eqNullSafe(holds["_of"]) & (ranged["_range"] == holds["_held"]))
+    ranked = left.withColumn("_upto", F.sum("_n").over(one.orderBy("_value")))
+    return ranked.filter((F.col("_upto") - F.col("_n") <= F.col("_at")) & (F.col("_at") < F.col("_upto"))).select(F.col("_group").alias(group), F.col("_value").alias("percentile"))
+
+
+def _averages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For sorted rows (group, value): a group's average once its last row has passed. One number is carried across batches."""
+    group, average, begun, schema = None, 0, False, None
+
+    def told(groups: list, averages: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(groups, schema.field(0).type), pa.array(averages, pa.int64())], schema=schema)
+
+    for batch in batches:
+        schema = pa.schema([pa.field("_group", batch.schema.field(0).type), pa.field("_average", pa.int64())])
+        done: tuple[list, list] = ([], [])
+        for g, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if begun and g != group:
+                done[0].append(group), done[1].append(average)
+            if not begun or g != group:
+                group, average, begun = g, 0, True
+            average = None if average is None or x is None else (average * 9 + x) // 10
+        yield told(*done)
+    if begun:
+        yield told([group], [average])
 
 
 def moving_average(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """The exponential average (9 a + x) / 10 over a group's values in order, from 0, in whole numbers."""
-    listed = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_all"))
-    return listed.select(group, F.aggregate("_all", F.lit(0).cast("long"), lambda a, x: F.floor((a * 9 + x[value].cast("long")) / 10)).alias("average"))
+    """The exponential average (9 a + x) / 10 over a group's values in order, from 0, in whole numbers; null once a value is.
+
+    Rows pass one by one, sorted by Spark, which spills; a group of any size costs one number of memory.
+    """
+    rows = df.select(F.col(group).alias("_group"), F.col(value).cast("long").alias("_value"), F.col(order).alias("_order"), F.col(value).alias("_tie"))
+    sorted_ = rows.repartition("_group").sortWithinPartitions("_group", "_order", "_tie").select("_group", "_value")
+    schema = T.StructType([T.StructField("_group", df.schema[group].dataType), T.StructField("_average", T.LongType())])
+    return sorted_.mapInArrow(_averages, schema).toDF(group, "average")
 
 
 def rekey(df: DataFrame, old: Sequence[Column], new: Sequence[Column]) -> DataFrame:
