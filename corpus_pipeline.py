@@ -23,8 +23,8 @@ def neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs without an item of `benchmark`."""
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """The rows of docs without an item of `benchmark`, whether they have a doc_id or not."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), nameless=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

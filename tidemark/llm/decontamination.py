@@ -155,23 +155,29 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["doc_id", "item_id"]].assign(containment=part).query("containment >= @CONTAINMENT")
 
 
-def find_contaminated(docs: DataFrame, items: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
+def find_contaminated(docs: DataFrame, items: DataFrame, most_sent: int = MOST_SENT, nameless: bool = False) -> DataFrame:
     """(doc_id, item_id, containment): the items of which a document holds 0.8 or more of the distinct five-word shingles.
 
     docs has (doc_id long, text), items (item_id, text). Windows as long as an item's size class allows are searched for the
     item's minima, whatever the length of the document; containment is counted over the whole document. Items and documents of
-    fewer than five words have no shingles and take no part; null ids or texts neither. Repeated rows give a pair once.
+    fewer than five words have no shingles and take no part; null texts and item ids neither, nor null doc_ids unless nameless
+    is set: then they share a null doc_id in the result. Rows that share an id give a pair once, with the largest part.
 
     While the items' minima are few (counted first), they go to all executors and nothing of the documents is shuffled. Beyond
     that, documents' minima are joined to them, and the pairs' texts are joined back to be verified.
     """
+    if nameless:
+        unnamed = docs.filter(F.col("doc_id").isNull()).select(F.xxhash64("text").alias("doc_id"), "text")
+        by_item = find_contaminated(unnamed, items, most_sent).groupBy("item_id").agg(F.max("containment").alias("containment"))
+        return find_contaminated(docs, items, most_sent).unionByName(by_item.withColumn("doc_id", F.lit(None).cast("long")))
     docs, items = docs.select("doc_id", "text").dropna(), items.select("item_id", "text").dropna()
     id_type = items.schema["item_id"].dataType.simpleString()
     schema = f"doc_id long, item_id {id_type}, containment double"
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     items = items.dropDuplicates(["item_id", "text"])
     if items.count() * MINIMA <= most_sent:
-        return docs.mapInPandas(_Search([tuple(r) for r in items.collect()]), schema).dropDuplicates(["doc_id", "item_id"])
+        found = docs.mapInPandas(_Search([tuple(r) for r in items.collect()]), schema)
+        return found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
     keys = materialise(items.mapInPandas(_item_keys, f"item_id {id_type}, key long, class int"), "item-keys")
     classes = sorted(r[0] for r in keys.select("class").distinct().collect()) or [0]
     met = docs.mapInPandas(_document_keys(classes), "doc_id long, key long").join(keys, "key").select("doc_id", "item_id").distinct()
@@ -179,11 +185,19 @@ def find_contaminated(docs: DataFrame, items: DataFrame, most_sent: int = MOST_S
     return texts.mapInPandas(_verify, schema).groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item, with their own columns; rows with a null doc_id stay."""
-    leaks = materialise(find_contaminated(docs, items).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"] == leaks["_leak"], "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, nameless: bool = False) -> DataFrame:
+    """The rows of docs that hold no item, with their own columns. Rows with a null doc_id are dropped too if nameless is set,
+    else they stay.
+
+    Rows are known by a 64-bit hash of their text, which alone decides whether they hold an item: clean rows that share the
+    doc_id of a contaminated one stay.
+    """
+    searched = docs if nameless else docs.filter(F.col("doc_id").isNotNull())
+    texts = searched.dropna(subset=["text"]).select(F.xxhash64("text").alias("doc_id"), "text")
+    leaks = materialise(find_contaminated(texts, items).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    leaking = F.xxhash64(docs["text"]) == leaks["_leak"]
+    return docs.join(leaks, leaking if nameless else leaking & docs["doc_id"].isNotNull(), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), nameless=True)

@@ -161,11 +161,12 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, node (a 64-bit hash of the text), class_id (the smallest doc_id of the class).
+    """One row per row of docs: doc_id, node (a 64-bit hash of the text), class_id (the smallest doc_id of the class), keep.
 
     Texts are linked whose counted five-word shingles have a weighted Jaccard similarity of 0.8 or more, or that are equal;
     classes are the connected components. Texts of fewer than five words are only linked to equal ones; a null text is as an
     empty one; rows with null doc_id belong to classes but name none unless all are null. Repeated rows are rows of a class.
+    One row of each class has keep: the first by doc_id (null ids last), then node, of repeated rows any one.
 
     Equal texts are one node from the start. Each text is compared with the smallest text of all its buckets first, then with
     the smallest of each bucket, its leader, unless both are in one component by then: few rows whatever a bucket's size, and
@@ -177,8 +178,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("node"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    signed = materialise(rows.mapInPandas(_sign, f"doc_id {id_type}, node long, keys array<long>"), "signed")
-    texts = materialise(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys")), "texts")
+    signed = rows.mapInPandas(_sign, f"doc_id {id_type}, node long, keys array<long>")
+    signed = materialise(signed.withColumn("row", F.monotonically_increasing_id()), "signed")  # written, so that numbers stay
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))
+    texts = materialise(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), first.alias("first")), "texts")
     buckets = texts.select("node", F.explode("keys").alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     members = materialise(buckets.join(leaders.hint("shuffle_hash"), "bucket"), "members")
@@ -217,29 +220,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         if not fresh.isEmpty():
             labels = merged(labels, fresh)
 
-    classed = texts.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = classed.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    classes = classed.join(smallest, "label").select("node", "class_id")
-    return signed.select("doc_id", "node").join(classes, "node").select("doc_id", "node", "class_id")
+    classed = texts.select("node", "first_id", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    one = F.min(F.struct("first.nameless", "first.doc_id", "node", "first.row"))
+    smallest = classed.groupBy("label").agg(F.min("first_id").alias("class_id"), one.alias("one"))
+    classes = classed.join(smallest, "label").select("node", "class_id", F.col("one.row").alias("kept"))
+    return signed.select("doc_id", "node", "row").join(classes, "node").select("doc_id", "node", "class_id", (F.col("row") == F.col("kept")).alias("keep"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that name their class, one row each, with their own columns; see near_duplicates."""
+    """One row of docs of each class, with its own columns: the row by (doc_id, text) that has keep; see near_duplicates."""
     classed = materialise(near_duplicates(docs, key, text), "classes")
     node = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    gone = classed.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("node").alias("_gone")).distinct()
+    texts = classed.groupBy("doc_id", "node").agg(F.max("keep").alias("keep"), F.count("*").alias("n"))
+    gone = texts.filter(~F.col("keep")).select(F.col("doc_id").alias("_id"), F.col("node").alias("_gone"))
     left = docs.withColumn("_node", node)
     left = left.join(gone, (left["_node"] == gone["_gone"]) & left[key].eqNullSafe(gone["_id"]), "left_anti")
-    named = classed.filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    # Of rows that repeat a document one stays; texts of different classes may share a doc_id, and so a class_id.
-    twice = materialise(named.groupBy("doc_id", "class_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_twice")), "twice")
+    # Of rows that repeat a document one stays; texts of different classes may share a doc_id.
+    twice = materialise(texts.filter(F.col("keep") & (F.col("n") > 1)).select(F.col("doc_id").alias("_twice"), F.col("node").alias("_text")), "twice")
     if twice.isEmpty():
         return left.drop("_node")
-    again = left[key].eqNullSafe(twice["_twice"])
+    again = (left["_node"] == twice["_text"]) & left[key].eqNullSafe(twice["_twice"])
     unique = left.join(twice, again, "left_semi").dropDuplicates([key, "_node"])
     return left.join(twice, again, "left_anti").unionByName(unique).drop("_node")
 
 
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "keep")
