@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +38,9 @@ PATTERN = (
 )
 #: What any match must contain, to pass over most texts.
 HINT = rf"[0-9]|@|(?:{_TITLE})\.? \p{{Lu}}"
-#: Replacement rounds until all surrogates differ; each leaves only those that collided.
-MOST_ROUNDS = 60
+#: Replacement rounds with surrogates of the identity's own length; each leaves only those that collided. Where a form is
+#: full by then, the surrogates left grow by one character a round, so that rounds end whatever the number of real ids.
+SAME_LENGTH = 8
 
 
 def _kind(match: Column) -> Column:
@@ -106,16 +109,19 @@ def luhn_sum(digits: Column) -> Column:
 def surrogate(kind: Column, identity: Column, attempt: Column, key: str) -> Column:
     """A value of the identity's kind and form: same length, script, case and punctuation; cards keep whether they are valid,
     addresses their top-level domain, numbers of accounts their country, phone numbers their first digit; names are of the
-    same gender and script, a further syllable or letter for each attempt."""
+    same gender and script, a further syllable or letter for each attempt. From attempt SAME_LENGTH on values are longer than
+    the identity: by a digit at the end for each attempt, a letter at the start of addresses, a number more of ip."""
 
     def number(salt):
         return _number(key, kind, identity, attempt, salt)
 
-    chars = F.split(identity, "")
+    extra = F.greatest(F.lit(0), attempt - (SAME_LENGTH - 1)).cast("int")
+    chars = F.split(F.concat(identity, F.repeat(F.lit("0"), extra)), "")
     any_form = _alike(chars, number)
     domain = F.regexp_extract(identity, r"\.[^.@]*$", 0)
-    email = F.concat(_alike(F.split(F.substring(identity, F.lit(1), F.length(identity) - F.length(domain)), ""), number), domain)
-    octets = F.array_join(F.transform(F.split(identity, r"\."), lambda o, at: (F.pmod(number(at), F.lit(254)) + 1).cast("string")), ".")
+    before = F.concat(F.repeat(F.lit("a"), extra), F.substring(identity, F.lit(1), F.length(identity) - F.length(domain)))
+    email = F.concat(_alike(F.split(before, ""), number), domain)
+    octets = F.array_join(F.transform(F.split(F.concat(identity, F.repeat(F.lit(".0"), extra)), r"\."), lambda o, at: (F.pmod(number(at), F.lit(254)) + 1).cast("string")), ".")
     head = F.substring(any_form, F.lit(1), F.length(any_form) - 1)
     check = F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(head, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
     card = F.when(F.pmod(luhn_sum(identity), F.lit(10)) == 0, F.concat(head, check)).otherwise(any_form)
@@ -141,12 +147,12 @@ def assign_surrogates(identities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, id, surrogate) for distinct (kind, id): no two of a kind share a surrogate, and none is a real id of its kind.
 
     Of those that collide the smallest id keeps its surrogate; the others and those that hit a real id try again, checked
-    against all kept so far. Each round writes its part to the shared folder; only whether any are left reaches the driver.
+    against all kept so far; after SAME_LENGTH rounds with longer values, of which there are always enough. Each round writes its part to the shared folder; only whether any are left reaches the driver.
     """
     real = materialise(identities, "identities")
     known = real.select(F.col("kind").alias("kind"), F.lower("id").alias("taken"))
     left, kept = real, None
-    for attempt in range(MOST_ROUNDS):
+    for attempt in itertools.count():
         tried = left.withColumn("surrogate", surrogate(F.col("kind"), F.col("id"), F.lit(attempt), key)).withColumn("taken", F.lower("surrogate"))
         first = tried.withColumn("n", F.row_number().over(Window.partitionBy("kind", "taken").orderBy("id")))
         free = first.filter("n = 1").join(known, ["kind", "taken"], "left_anti")
@@ -157,11 +163,10 @@ def assign_surrogates(identities: DataFrame, key: str = KEY) -> DataFrame:
         left = materialise(left.join(free, ["kind", "id"], "left_anti"), "colliding")
         if left.isEmpty():
             return kept
-    raise RuntimeError("a form of personal data has too few values for distinct surrogates")
 
 
 def _render(match: Column, kind: Column, surrogates: Column) -> Column:
-    """A surrogate in the form of its match: the title and every separator stay."""
+    """A surrogate in the form of its match: the title and every separator stay; what a longer surrogate has more follows."""
     title = F.regexp_extract(match, r"^[^ ]+ ", 0)
     one = F.get(surrogates, F.lit(0))
 
@@ -169,7 +174,7 @@ def _render(match: Column, kind: Column, surrogates: Column) -> Column:
         letter = c.rlike(r"^[A-Za-z0-9]$")
         return F.struct((s["at"] + letter.cast("int")).alias("at"), F.concat(s["out"], F.when(letter, F.substring(one, s["at"], F.lit(1))).otherwise(c)).alias("out"))
 
-    spaced = F.aggregate(F.split(match, ""), F.struct(F.lit(1).alias("at"), F.lit("").alias("out")), put, lambda s: s["out"])
+    spaced = F.aggregate(F.split(match, ""), F.struct(F.lit(1).alias("at"), F.lit("").alias("out")), put, lambda s: F.concat(s["out"], F.substring(one, s["at"], F.length(one))))
     return F.when(kind.startswith("name"), F.concat(title, F.array_join(surrogates, " "))).when(kind.isin("email", "ip"), one).otherwise(spaced)
 
 
