@@ -14,11 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set (tests)."""
+    """The folder that the driver and all executors share. Where none is set, a temporary one in local mode, as in tests; a
+    cluster has no such folder, so there it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -29,14 +32,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     The table goes when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = until_exit(spark, f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def until_exit(spark: SparkSession, path: str) -> str:
+    """The path, marked to be deleted when the driver's JVM ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def stable_bits(value: Column, digits: int = 15, salt: str = "") -> Column:
     """A non-negative long of 4 * digits bits that depends on nothing but the value (null: as empty) and the salt."""
     text = F.concat(F.lit(salt), F.coalesce(value.cast("string"), F.lit("")))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,11 @@ CONTAINMENT = 0.8
 #: there has a Jaccard similarity of at least 0.8 / 4.2 with it; all 48 minima differ with probability (1 - 0.19)^48 = 4e-5,
 #: and of the one or two windows that hold a passage whole both must.
 MINIMA = 48
-#: Items are sent to all executors while they have at most so many minima; beyond it, minima are joined.
+#: Items are sent to all executors while they have at most so many minima, of 8 bytes, and their texts no more bytes than
+#: those; beyond it, minima are joined. Either way the same pairs are found.
 MOST_SENT = 1_000_000
+#: 64-bit words of the filter (16 MB) that spares minima of documents the join where no item has the like.
+FILTER_WORDS = 1 << 21
 #: Shingles of which minima are taken at a time, to stay in the processor's cache, and shingles of a group of documents.
 CHUNK, GROUP = 1 << 14, 1 << 16
 #: Odd multipliers: each reorders the 32-bit shingle hashes, which are mixed well already.
@@ -83,10 +87,11 @@ def contained(item: str, text_shingles: np.ndarray, text: str) -> float:
     """The part of the item's distinct shingles that the text holds; hashes choose what the words then confirm."""
     words = WORD.findall(item.lower())
     own = {" ".join(words[i : i + SHINGLE_WORDS]) for i in range(len(words) - SHINGLE_WORDS + 1)}
-    if not own or np.isin(np.unique(shingle_hashes(item)), text_shingles).sum() < CONTAINMENT * len(own):
+    places = np.flatnonzero(np.isin(text_shingles, shingle_hashes(item)))
+    if not own or len(np.unique(text_shingles[places])) < CONTAINMENT * len(own):
         return 0.0
-    body = " " + " ".join(WORD.findall(text.lower())) + " "
-    return sum(f" {s} " in body for s in own) / len(own)
+    body = WORD.findall(text.lower())
+    return len(own & {" ".join(body[at : at + SHINGLE_WORDS]) for at in places}) / len(own)
 
 
 class _Search:
@@ -131,15 +136,28 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str],
             yield ids, texts, shingled
 
 
-def _document_keys(classes: list[int]):
+def _document_keys(classes: list[int], sieve: Broadcast):
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, _, shingled in _groups(batches):
-            found, of = window_keys(shingled, classes)
-            yield pd.DataFrame({"doc_id": np.array(ids, np.int64)[of], "key": found.view(np.int64)}).drop_duplicates()
+        words = sieve.value
+        for batch in batches:
+            numbered = pd.DataFrame({"doc_id": range(len(batch)), "text": batch["text"]})
+            for at, _, shingled in _groups([numbered]):
+                found, of = window_keys(shingled, classes)
+                passed = (words[found >> np.uint64(43)] >> ((found >> np.uint64(37)) & np.uint64(63))) & np.uint64(1) == 1
+                yield batch[["doc_id", "hash"]].iloc[np.array(at)[of[passed]]].assign(key=found[passed].view(np.int64)).drop_duplicates()
 
     return keys
 
 
+def _sieve(keys: DataFrame) -> np.ndarray:
+    """A bit for each key's leading 27 bits, in FILTER_WORDS words, whatever the number of keys."""
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 37) & 63 as int))")
+    found = keys.groupBy(F.shiftrightunsigned("key", 43).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    words = np.zeros(FILTER_WORDS, np.int64)
+    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return words.view(np.uint64)
+
+
 def _item_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for item_id, text in zip(batch["item_id"], batch["text"], strict=True):
@@ -163,8 +181,9 @@ def find_contaminated(docs: DataFrame, items: DataFrame, most_sent: int = MOST_S
     fewer than five words have no shingles and take no part; null texts and item ids neither, nor null doc_ids unless nameless
     is set: then they share a null doc_id in the result. Rows that share an id give a pair once, with the largest part.
 
-    While the items' minima are few (counted first), they go to all executors and nothing of the documents is shuffled. Beyond
-    that, documents' minima are joined to them, and the pairs' texts are joined back to be verified.
+    While the items are small (measured first), they go to all executors and nothing of the documents is shuffled. Beyond
+    that, documents' minima are joined to them, those that no item has left out first by a filter of fixed size, and the
+    pairs' texts are joined back by id and text hash to be verified.
     """
     if nameless:
         unnamed = docs.filter(F.col("doc_id").isNull()).select(F.xxhash64("text").alias("doc_id"), "text")
@@ -175,13 +194,18 @@ def find_contaminated(docs: DataFrame, items: DataFrame, most_sent: int = MOST_S
     schema = f"doc_id long, item_id {id_type}, containment double"
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     items = items.dropDuplicates(["item_id", "text"])
-    if items.count() * MINIMA <= most_sent:
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if n * MINIMA <= most_sent and size <= 8 * most_sent:
         found = docs.mapInPandas(_Search([tuple(r) for r in items.collect()]), schema)
         return found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
     keys = materialise(items.mapInPandas(_item_keys, f"item_id {id_type}, key long, class int"), "item-keys")
     classes = sorted(r[0] for r in keys.select("class").distinct().collect()) or [0]
-    met = docs.mapInPandas(_document_keys(classes), "doc_id long, key long").join(keys, "key").select("doc_id", "item_id").distinct()
-    texts = met.join(docs, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id").select("doc_id", "text", "item_id", "item_text")
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(keys))
+    met = docs.mapInPandas(_document_keys(classes, sieve), "doc_id long, hash long, key long").join(keys, "key").select("doc_id", "hash", "item_id").distinct()
+    met = materialise(met, "met")
+    once = docs.join(met.select("doc_id", "hash").distinct(), ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"])
+    texts = met.join(once, ["doc_id", "hash"]).join(items.withColumnRenamed("text", "item_text"), "item_id").select("doc_id", "text", "item_id", "item_text")
     return texts.mapInPandas(_verify, schema).groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 
 

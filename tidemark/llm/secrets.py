@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, table
+from .common import materialise, shared_dir, table, until_exit
 
 
 class Rule(NamedTuple):
@@ -42,6 +42,8 @@ MORE = (
     Rule("url", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]+@", 0, 1, r"://[^\s/:@]+:"),
 )
 RULES = BASE + MORE
+#: Parts in which the paths of a common blob are joined to its findings.
+SALTS = 64
 
 
 def rules_version(rules: Sequence[Rule]) -> str:
@@ -89,10 +91,13 @@ def scan_versions(versions: DataFrame, path: str, text: str, rules: Sequence[Rul
     hold them, and added; then findings are joined back to all paths. Without a ledger, a new one is begun in the shared
     folder. A null text is the empty blob; null paths and repeated rows are kept.
 
-    What moves: addresses, and the texts once, dealt by blob and path so that a blob with many copies is no hot key.
+    A ledger in which several writers scanned the same blob gives its findings once; a rerun finds nothing unseen.
+
+    What moves: addresses, and the texts once, dealt by blob and path so that a blob with many copies is no hot key. Blobs that
+    more than one in a thousand paths hold, of which there can't be more than a thousand, meet their findings in SALTS parts.
     """
     spark = versions.sparkSession
-    version, ledger = rules_version(rules), ledger or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    version, ledger = rules_version(rules), ledger or until_exit(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     content = versions.select(F.col(path).alias("path"), body.alias("body"), F.sha2(body, 256).alias("blob"))
     addresses = materialise(content.select("path", "blob"), "addresses")
@@ -107,9 +112,15 @@ def scan_versions(versions: DataFrame, path: str, text: str, rules: Sequence[Rul
     found = unseen.select("blob", all_spans(F.col("body"), rules).alias("spans"))
     found.groupBy("blob").agg(F.max("spans").alias("spans")).write.mode("append").parquet(where)
     findings = spark.read.parquet(where)
-    hits = findings.filter(F.size("spans") > 0)
+    hits = findings.filter(F.size("spans") > 0).groupBy("blob").agg(F.max("spans").alias("spans"))
+    common = addresses.groupBy("blob").count().filter(F.col("count") * 1000 > max(addresses.count(), 1000)).select("blob", F.lit(True).alias("common"))
+    common = F.broadcast(common)
+    part = F.when(F.col("common"), F.pmod(F.xxhash64("path"), F.lit(SALTS))).otherwise(0).cast("int")
+    parts = F.when(F.col("common"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = addresses.join(common, "blob", "left").select("path", "blob", part.alias("part"))
+    right = hits.join(common, "blob", "left").select("blob", "spans", F.explode(parts).alias("part"))
     nothing = F.array().cast(findings.schema["spans"].dataType)
-    return addresses.join(hits, "blob", "left").select("path", "blob", F.coalesce("spans", nothing).alias("spans"))
+    return left.join(right, ["blob", "part"], "left").select("path", "blob", F.coalesce("spans", nothing).alias("spans"))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,8 +57,9 @@ def assign_shards(docs: DataFrame, n_shards: int = N_SHARDS, key: str = "doc_id"
     from 0 without gaps. A null text counts as no bytes (size 16, CRC 0); null keys share one shard; repeated rows keep
     a slot each; an empty table gives no rows; other columns are ignored.
 
-    Rows alike in all output columns are counted before the shuffle, so a key held by a third of the rows is one row
-    until the slots are known. What is shuffled has no text in it.
+    Rows alike in all output columns are counted before the shuffle, so a text held by a third of the rows is one row
+    until the slots are known, and different texts under one key fall into different buckets. What is shuffled has no text in
+    it, so texts may be of any length.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
@@ -69,7 +70,7 @@ def assign_shards(docs: DataFrame, n_shards: int = N_SHARDS, key: str = "doc_id"
     alike = rows.groupBy("doc_id", "size", "text_crc32", "bits").agg(F.count("*").alias("n"))
     placed = alike.withColumn("at", jump_hash(F.col("bits"), n_shards)).select(
         "doc_id", "size", "text_crc32", "n", F.col("at.shard").alias("shard"),
-        F.when(F.col("at.next") == n_shards, F.lit(n_shards)).otherwise(F.col("at.shard")).alias("grown_shard"), F.pmod("bits", F.lit(buckets)).cast("int").alias("bucket"),
+        F.when(F.col("at.next") == n_shards, F.lit(n_shards)).otherwise(F.col("at.shard")).alias("grown_shard"), F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)).cast("int").alias("bucket"),
     )
     placed = materialise(placed, "shards")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

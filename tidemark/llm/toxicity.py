@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -58,31 +59,52 @@ def folding() -> dict[int, str]:
     return out
 
 
+#: Marks that don't show or sit on the letter before, such as zero-width characters and combining accents.
+_UNSEEN = re.compile("[\u00ad\u0300-\u036f\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")
+
+
+def seen(text: str) -> str:
+    """The text without marks that would part or dress up the letters of a word."""
+    return _UNSEEN.sub("", text)
+
+
 def fold(text: str) -> str:
     return text.translate(folding())
 
 
 def automaton(weights: dict[str, float]) -> ahocorasick.Automaton:
-    """Payloads: (length, weight, whether anything may follow) of a term, weight None for an exception phrase."""
-    found = ahocorasick.Automaton()
+    """Payloads: (length, weight of the whole word, weight where anything may follow), the weights None for an exception phrase.
+
+    Of terms that fold to one string the largest weight holds.
+    """
+    payloads: dict[str, tuple[int, float | None, float | None]] = {}
     for term, weight in weights.items():
-        bare = term.rstrip("*")
-        found.add_word(fold(bare), (len(bare), weight, bare != term))
-    for phrase in EXCEPTIONS:
-        found.add_word(fold(phrase), (len(phrase), None, False))
+        bare = fold(seen(term.rstrip("*")))
+        _, whole, begun = payloads.get(bare, (0, 0.0, 0.0))
+        payloads[bare] = (len(bare), max(whole, weight), max(begun, weight) if term.endswith("*") else begun)
+    payloads |= {fold(phrase): (len(phrase), None, None) for phrase in EXCEPTIONS}
+    found = ahocorasick.Automaton()
+    for bare, payload in payloads.items():
+        found.add_word(bare, payload)
     found.make_automaton()
     return found
 
 
 def weigh(text: str, terms: ahocorasick.Automaton) -> tuple[float, int]:
     """The weight of the terms that stand as whole words (or begin one, as marked) outside of exception phrases, and the number of words."""
+    text = seen(text)
     hits, excused = [], []
-    for last, (length, weight, open_end) in terms.iter(fold(text)):
+    for last, (length, whole, begun) in terms.iter(fold(text)):
         first, end = last - length + 1, last + 1
-        if (first == 0 or not text[first - 1].isalnum()) and (open_end or end == len(text) or not text[end].isalnum()):
-            (excused if weight is None else hits).append((first, end, weight))
-    free = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in excused)] if excused else hits
-    return sum(h[2] for h in free), text.count(" ") + text.count("\n") + 1
+        if first and text[first - 1].isalnum():
+            continue
+        alone = end == len(text) or not text[end].isalnum()
+        if whole is None:
+            excused += [(first, end)] if alone else []
+        elif weight := whole if alone else begun:
+            hits.append((first, end, weight))
+    free = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in excused)] if excused else hits
+    return sum(h[2] for h in free), max(len(text.split()), 1)
 
 
 def features(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -90,11 +112,12 @@ def features(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """At most `rows` labelled rows (text, toxic), the first by a hash of doc_id; the ids alone are sorted and broadcast."""
+    """(hash, text, toxic): the distinct texts of at most `rows` labelled ids, the first by a hash of doc_id, toxic if any label of
+    a text says so. The ids alone are sorted and broadcast; copies are dropped before and while they are shuffled."""
     learnt = labels.select("doc_id", "toxic").dropna().filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     picked = learnt.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # Copies of a text with the same label teach once.
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter("text is not null").select("text", "toxic", F.xxhash64("text").alias("hash"))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter("text is not null")
+    return labelled.groupBy(F.xxhash64("text").alias("hash")).agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -105,7 +128,8 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts, counts, totals = Counter(), (Counter(), Counter()), [0, 0]
         for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-            words, terms = Counter(w.strip(".,;:!?\"'()[]*%#&$|") for w in text.lower().split()), Counter()
+            # Folded, so that the spellings of a word count as one; what may stand for a letter is cut off a word's ends first.
+            words, terms = Counter(fold(w.strip(".,;:!?\"'()[]*%#&$|")) for w in seen(text).split()), Counter()
             for word, n in words.items():
                 if 2 < len(word) < 40:
                     terms[word] += n
@@ -134,18 +158,19 @@ def _without_kin(ranked: list[tuple[str, float]]) -> dict[str, float]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Lexicon weights and score curve from a sample of at most `rows` labelled training rows, rows with held-out ids never among them.
 
-    Counting, selecting and weighing run as Spark jobs over the sample; the driver gets LEARNED_TERMS terms and two numbers
-    a row. Seed terms keep their weight unless the labels speak against them. Without both labels, the seed model holds.
+    Counting, selecting and weighing run as Spark jobs over the sample's distinct texts, of which there are no more than rows;
+    the driver gets LEARNED_TERMS terms and two numbers a text. Seed terms keep their weight unless the labels speak against them. Without both labels, the seed model holds.
     """
-    sample = _sample(docs, labels, rows).persist()
+    sample = whole = _sample(docs, labels, rows).persist()
     try:
-        classes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.countDistinct("hash").alias("n")).collect()}
+        if sample.count() > rows:  # ids with several texts
+            sample = sample.join(F.broadcast(sample.select("hash").orderBy("hash").limit(rows)), "hash", "left_semi")
+        classes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         n_tox, n_rest = classes.get(1, 0), classes.get(0, 0)
         seeds = dict.fromkeys(SEED_TERMS, SEED_WEIGHT)
         if not n_tox or not n_rest:
             return Model(seeds, DEFAULT_CURVE)
-        once = sample.groupBy("hash").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
-        counts = once.mapInPandas(_count_terms, "term string, texts long, tox long, rest long")
+        counts = sample.select("text", "toxic").mapInPandas(_count_terms, "term string, texts long, tox long, rest long")
         counts = materialise(counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("texts", "tox", "rest")]), "terms")
         words = counts.filter("term = ''").first()
         weight = F.log((F.col("tox") + 0.5) / (words["tox"] + 1.0)) - F.log((F.col("rest") + 0.5) / (words["rest"] + 1.0))
@@ -153,13 +178,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         told = weighed.filter((F.col("texts") >= max(LEAST_TEXTS, LEAST_PART * n_tox)) & (F.col("weight") >= LEAST_WEIGHT))
         ranked = told.orderBy(F.desc("gain"), F.desc(F.length(F.regexp_replace("term", r"\*$", ""))), "term").limit(LEARNED_TERMS * len(STEMS)).select("term", "weight").collect()
         learned = _without_kin([(r["term"], min(r["weight"], MOST_WEIGHT)) for r in ranked])
-        harmless = {r["term"] for r in weighed.filter(F.col("term").isin(*SEED_TERMS) & (F.col("weight") < 0.5)).collect()}
+        folded = {fold(t): t for t in SEED_TERMS}
+        harmless = {folded[r["term"]] for r in weighed.filter(F.col("term").isin(*folded) & (F.col("weight") < 0.5)).collect()}
         learned = dict(list(learned.items())[:LEARNED_TERMS])
-        weights = learned | {t: w for t, w in seeds.items() if t not in harmless and not any(t.startswith(k.rstrip("*")) for k in learned)}
+        weights = learned | {t: w for t, w in seeds.items() if t not in harmless and not any(fold(t).startswith(k.rstrip("*")) for k in learned)}
         rows_seen = sample.select("text", "toxic").mapInPandas(_Weigher(Model(weights, DEFAULT_CURVE), ["toxic"]), "toxic int, weight double, words long").toPandas()
         return Model(weights, _fit_curve(features(rows_seen["weight"].to_numpy(), rows_seen["words"].to_numpy()), rows_seen["toxic"].to_numpy() == 1))
     finally:
-        sample.unpersist()
+        whole.unpersist()
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float, float]:
@@ -197,7 +223,7 @@ class _Scorer(_Weigher):
 def score_texts(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (default: all of docs) with _toxicity (0 to 1) and _toxic_weight, whole texts, no shuffle.
 
-    A null or empty text scores as a text without a term. Repeated rows score alike.
+    A null or empty text scores as a text without a term. Repeated rows score alike; texts of any length are read whole.
     """
     keep = docs.columns if keep is None else keep
     ids = [f"k{n}" for n in range(len(keep))]
