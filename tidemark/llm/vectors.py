@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
@@ -26,8 +26,11 @@ THRESHOLD = 0.2
 SAMPLE, ROUNDS = 10_000, 12
 #: Candidates of a query that are scored exactly.
 RERANK = 300
-#: Queries and vectors of a scanned block.
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
+#: Vectors of a cell of the scan, in the mean, and cells at most. A query scans the cells whose centres it likes best, as many as
+#: find RECALL of the neighbours of PROBED sample vectors in the sample: few where vectors lie in clusters, all where they don't.
+CELL, MOST_CELLS, RECALL, PROBED = 1 << 16, 1024, 0.98, 200
+#: Queries and vectors of a scanned block at most. Tables of some size have LEAST_BLOCKS, of LEAST vectors or more.
+QUERY_BLOCK, VECTOR_BLOCK, LEAST_BLOCKS, LEAST = 4096, 1 << 18, 8, 2048
 
 
 class Codebooks(NamedTuple):
@@ -112,22 +115,61 @@ def fit(sample: np.ndarray, seed: int = 7) -> Codebooks:
     return Codebooks(coarse, centres, weight)
 
 
+def cell_centres(sample: np.ndarray, cells: int, seed: int = 11) -> np.ndarray:
+    """Centres by k-means; the mean alone if there is one cell."""
+    rng = np.random.default_rng(seed)
+    centres = sample[rng.choice(len(sample), cells, replace=len(sample) < cells)]
+    for _ in range(ROUNDS):
+        near = _closest(sample, centres)
+        counts, sums = np.bincount(near, minlength=cells), np.zeros_like(centres)
+        np.add.at(sums, near, sample)
+        centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
+    return centres
+
+
+def calibrated(sample: np.ndarray, centres: np.ndarray, k: int) -> int:
+    """How many cells a query must scan so that RECALL of the neighbours of sample vectors, within the sample, lie in them."""
+    if len(centres) == 1 or len(sample) <= k:
+        return len(centres)
+    asked = sample[:PROBED]
+    scores = asked @ sample.T
+    scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    found = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)
+    need = np.take_along_axis(place, _closest(sample, centres)[found], 1).ravel()
+    return min(int(np.quantile(need, RECALL, method="higher")) + 1, len(centres))
+
+
 class _Encoder:
-    def __init__(self, books: Codebooks):
-        self.books = books
+    def __init__(self, books: Codebooks, centres: np.ndarray):
+        self.books, self.centres = books, centres
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                near, length, codes = encode(np.stack(batch["vector"]).astype(np.float64), self.books)
+                x = np.stack(batch["vector"]).astype(np.float64)
+                near, length, codes = encode(x, self.books)
                 packed = codes[:, ::2] | (np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))[:, 1::2] << 4)
-                yield batch[["vec_id"]].assign(near=near, length=length, code=[row.tobytes() for row in packed])
+                yield batch[["vec_id"]].assign(near=near, length=length, code=[row.tobytes() for row in packed], cell=_closest(x, self.centres).astype(np.int32))
+
+
+class _Probe:
+    """For mapInPandas over queries: the cells that each scans."""
+
+    def __init__(self, centres: np.ndarray, probes: int):
+        self.centres, self.probes = centres, probes
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                liked = np.argsort(-(np.stack(batch["vector"]).astype(np.float64) @ self.centres.T), axis=1, kind="stable")[:, : self.probes]
+                yield batch[["vec_id", "vector"]].assign(cells=list(liked.astype(np.int32)))
 
 
 class _Scan:
     """For cogrouped blocks of queries and codes: the best of the block for each query by table sums, `most` of them."""
 
-    def __init__(self, books: Codebooks, most: int):
+    def __init__(self, books: Codebooks, most: int | None):
         self.books, self.most = books, most
 
     def __call__(self, queries: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
@@ -143,16 +185,16 @@ class _Scan:
             tables = np.concatenate([tables, np.zeros((len(tables), 1, CODES), np.float32)], 1)
         coarse = (np.stack(queries["vector"]).astype(np.float64) @ self.books.coarse.T).astype(np.float32)
         near, length = codes["near"].to_numpy(), codes["length"].to_numpy(np.float32)
-        # Two codes share a byte: one table of 256 sums for both halves the look-ups.
-        both = (tables[:, 0::2, None, :] + tables[:, 1::2, :, None]).reshape(len(tables), pairs, CODES * CODES)
         by_pair = np.ascontiguousarray(packed.T)
         out_q, out_v, out_s = [], [], []
-        for query_id, base, look_up in zip(queries["vec_id"].to_numpy(), coarse, both, strict=True):
+        for query_id, base, table in zip(queries["vec_id"].to_numpy(), coarse, tables, strict=True):
+            # Two codes share a byte: one table of 256 sums for both halves the look-ups.
+            look_up = (table[0::2, None, :] + table[1::2, :, None]).reshape(pairs, CODES * CODES)
             rough = np.zeros(len(ids), np.float32)
             for m in range(pairs):
                 rough += look_up[m][by_pair[m]]
             rough = base[near] + length * rough
-            if len(ids) > self.most:
+            if self.most is not None and len(ids) > self.most:
                 least = np.partition(rough, -self.most)[-self.most]
                 best = np.r_[np.flatnonzero(rough > least), np.flatnonzero(rough == least)][: self.most]
             else:
@@ -174,16 +216,22 @@ def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
     return vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector")).filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~bad & some)
 
 
-def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = NEAREST, every: int = QUERY_EVERY, rerank: int = RERANK) -> DataFrame:
+def nearest(
+    vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = NEAREST, every: int = QUERY_EVERY, rerank: int | None = RERANK, probes: int | None = None, cell: int = CELL
+) -> DataFrame:
     """(query_id, rank, vec_id, score): for every vec_id divisible by `every`, the k rows of largest inner product, not itself.
 
-    The codebooks are fitted on SAMPLE vectors, the first by a hash of their ids; every vector is encoded and scanned. Blocks of
-    queries meet blocks of codes, four bits per two dimensions; the `rerank` best of all blocks are scored on the original
-    vectors, each block sending its likely share of them. Ties go to the smaller vec_id. Rows that aren't usable take no part, nor do vectors of a length other than the
-    commonest; rows that repeat a vec_id count once, with the smallest vector; fewer candidates than k give fewer rows.
+    The codebooks are fitted on SAMPLE vectors, the first by a hash of their ids; every vector is encoded. Vectors lie in cells of
+    about `cell` vectors, and a query scans `probes` of them (default: see calibrated), four bits per two dimensions; the
+    `rerank` best are scored on the original vectors, each block of a cell sending its likely share of them and four deviations
+    more, of one cell of several 3 k at least. With rerank=None and probes=MOST_CELLS all rows are scored and the result is
+    exact. Ties go to the smaller vec_id. Rows that aren't usable take no part, nor do vectors of a length other than the
+    commonest; rows that repeat a vec_id count once, with the smallest vector; fewer candidates than k give fewer rows. Other
+    columns are ignored.
 
     Equal vectors have equal scores, so only the k + 1 smallest ids of each can be found, and only they are scanned; Spark
-    limits the group before it shuffles. Queries and codes are dealt to (number of blocks)^2 groups of bounded size.
+    limits the group before it shuffles. Codes go to the queries that scan their block, QUERY_BLOCK at a time, and queries to
+    blocks of up to VECTOR_BLOCK codes: groups of bounded size, and a code is copied once for so many queries of its cell.
     """
     rows = usable(vectors, key, vector).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     rows = materialise(rows, "vectors")
@@ -192,27 +240,43 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
     if lengths is None:
         return empty
     rows = rows.filter(F.size("vector") == lengths["n"])
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toPandas()
-    books = fit(np.stack(sample["vector"]).astype(np.float64))
+    sample = np.stack(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toPandas()["vector"]).astype(np.float64)
+    books, centres = fit(sample), cell_centres(sample, min(max(math.ceil(lengths["count"] / cell), 1), MOST_CELLS))
+    probes = calibrated(sample, centres, k) if probes is None else min(probes, len(centres))
 
     alike = rows.withColumn("copy", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).filter(F.col("copy") <= k + 1)
-    codes = materialise(alike.mapInPandas(_Encoder(books), "vec_id long, near int, length float, code binary"), "codes")
+    codes = materialise(alike.mapInPandas(_Encoder(books, centres), "vec_id long, near int, length float, code binary, cell int"), "codes")
     queries = rows.filter(F.col("vec_id") % every == 0)
-    n_codes, n_queries = codes.count(), queries.count()
+    n_queries = queries.count()
     if not n_queries:
         return empty
-    code_blocks, query_blocks = math.ceil(n_codes / VECTOR_BLOCK), math.ceil(n_queries / QUERY_BLOCK)
-
-    def block(n: int):
-        return F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-
-    left = queries.withColumns({"qb": block(query_blocks), "cb": F.explode(F.sequence(F.lit(0), F.lit(code_blocks - 1)))})
-    right = codes.withColumns({"cb": block(code_blocks), "qb": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))})
-    # Blocks are dealt by a hash, so the best ones of a query fall evenly on them: a block's share and four deviations more.
-    share = rerank / code_blocks
-    scan = _Scan(books, min(rerank, math.ceil(share + 4 * math.sqrt(share) + 4)))
+    query_blocks = math.ceil(n_queries / QUERY_BLOCK)
+    # A row per cell, MOST_CELLS at most: the numbers of its blocks.
+    sizes = sorted((r["cell"], r["count"]) for r in codes.groupBy("cell").count().collect())
+    cells, blocks = [], 0
+    for number, size in sizes:
+        parts = max(math.ceil(size / VECTOR_BLOCK), min(math.ceil(LEAST_BLOCKS / len(centres)), math.ceil(size / LEAST)))
+        cells.append((number, blocks, parts))
+        blocks += parts
+    cells = F.broadcast(rows.sparkSession.createDataFrame(cells, "cell int, first int, parts int"))
+
+    def part(n) -> Column:
+        return F.pmod(F.xxhash64("vec_id"), n).cast("int")
+
+    asking = queries.mapInPandas(_Probe(centres, probes), "vec_id long, vector array<double>, cells array<int>")
+    left = asking.select("vec_id", "vector", part(F.lit(query_blocks)).alias("qb"), F.explode("cells").alias("cell")).join(cells, "cell")
+    left = left.select("vec_id", "vector", "qb", F.explode(F.expr("sequence(first, first + parts - 1)")).alias("cb"))
+    right = codes.join(cells, "cell").withColumns({"cb": F.col("first") + part(F.col("parts")), "qb": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))}).drop("cell", "first", "parts")
+    most = None
+    if rerank is not None:
+        # Blocks of a cell are dealt by a hash, so the best ones of a query fall evenly on them.
+        share = rerank / max(blocks * probes / len(centres), 1)
+        most = min(rerank, max(math.ceil(share + 4 * math.sqrt(share) + 4), 3 * k if len(centres) > 1 else 0))
+    scan = _Scan(books, most)
     met = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(lambda q, c: scan(q, c), "query_id long, vec_id long, rough double")
-    best = met.filter("query_id <> vec_id").withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id"))).filter(F.col("n") <= rerank)
+    best = met.filter("query_id <> vec_id")
+    if rerank is not None:
+        best = best.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id"))).filter(F.col("n") <= rerank)
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
     scored = _rerank(best.select("query_id", "vec_id").join(rows, "vec_id").join(asked, "query_id"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
