@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, small, table
 from .graph import components, merged
 from .shingles import batch_shingles, mix, weighted_elements
 
@@ -22,31 +22,32 @@ BANDS, ROWS = 20, 4
 SKETCH, AGREE, FIRST, FIRST_AGREE = 1024, 0.756, 256, 0.705
 #: Members of a bucket that are compared with each other at a time, and choices of a text in the rounds before the last.
 BLOCK, CHOICES, ROUNDS_OF_CHOICES = 1024, 2, 1
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def dart_minhash(elements: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
-    """k coordinates for a weighted set given by its distinct unit parts; equal with the weighted Jaccard similarity each.
-
-    Every unit of weight is a strip that darts hit one after another as a Poisson process along the rank axis, placed by
-    hashes of the strip and the dart's number, so that equal strips get equal darts in all sets. A dart belongs to one of the
-    k coordinates at random, and the earliest dart of each is the signature. Only darts below a rank are thrown: k (ln k + 3)
-    of them in expectation however heavy the set; the rank is doubled in the 5% of cases where a coordinate stays empty.
+_STEP, _REGION = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+#: A bucket of more than one text in so many is joined by broadcast, so that no task gets it whole. There can't be more of them than
+#: HOT times BANDS.
+HOT = 1000
+
+
+def dart_minhash(elements: np.ndarray, k: int = BANDS * ROWS, weights: np.ndarray | None = None) -> np.ndarray:
+    """k coordinates for a weighted set (distinct 64-bit elements; weights above 0, or 1 each), equal with the weighted Jaccard
+    similarity each.
+
+    Above every element lies a plane of weight by rank, cut along the weight into [0, 1), [1, 2), [2, 4), [4, 8) and so on.
+    Darts hit each of these regions as a Poisson process along the rank axis, placed by hashes of the element, the region and
+    the dart's number, so that an element gets the same darts in all sets; those below its weight in the set count. A dart
+    belongs to one of the k coordinates at random, and the earliest dart of each is the signature. Only darts below a rank
+    are thrown: k (ln k + 3) of them count in expectation however heavy the set, and an element of weight w has log w regions;
+    the rank is doubled in the 5% of cases where a coordinate stays empty.
     """
-    limit = k * (math.log(k) + 3) / len(elements)
-    first = mix(elements + _STEP)
-    rank0 = _gap(first)
+    weights = np.ones(len(elements)) if weights is None else np.asarray(weights, np.float64)
+    limit = k * (math.log(k) + 3) / weights.sum()
+    regions = [(elements, weights, 0.0, 1.0)]
+    for n in range(1, math.ceil(math.log2(max(weights.max(), 1.0))) + 1):
+        heavy = weights > 2.0 ** (n - 1)
+        regions.append((mix(elements[heavy] + np.uint64(n * int(_REGION) % 2**64)), weights[heavy], 2.0 ** (n - 1), 2.0 ** (n - 1)))
     while True:
-        near = np.flatnonzero(rank0 < limit)
-        n = int(limit + 3 * math.sqrt(limit)) + 3
-        while True:
-            darts = mix(elements[near][:, None] + np.arange(1, n + 1, dtype=np.uint64) * _STEP)
-            ranks = np.cumsum(_gap(darts), axis=1)
-            if not len(near) or ranks[:, -1].min() >= limit:
-                break
-            n *= 2
-        thrown = ranks < limit
-        darts, ranks = darts[thrown], ranks[thrown]
+        thrown = [_throw(*region, limit) for region in regions]
+        darts, ranks = (np.concatenate(x) for x in zip(*thrown, strict=True))
         coordinate = mix(darts ^ np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(k)
         order = np.argsort(-ranks)  # of darts written to one place the last stays, which is the earliest
         signature, filled = np.zeros(k, np.uint64), np.zeros(k, bool)
@@ -56,6 +57,24 @@ def dart_minhash(elements: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
         limit *= 2
 
 
+def _throw(strips: np.ndarray, weights: np.ndarray, low: float, width: float, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """The darts, and their ranks, that hit a region [low, low + width) of each strip's weight before the limit and below its weight."""
+    near = np.flatnonzero(_gap(mix(strips + _STEP)) < limit * width)
+    expected = limit * width
+    n = int(expected + 3 * math.sqrt(expected)) + 3
+    while True:
+        darts = mix(strips[near][:, None] + np.arange(1, n + 1, dtype=np.uint64) * _STEP)
+        ranks = np.cumsum(_gap(darts), axis=1) / width
+        if not len(near) or ranks[:, -1].min() >= limit:
+            break
+        n *= 2
+    hit = ranks < limit
+    if (weights[near] < low + width).any():
+        at = low + width * ((mix(darts ^ _REGION) >> np.uint64(11)).astype(np.float64) * 2.0**-53)
+        hit &= at < weights[near][:, None]
+    return darts[hit], ranks[hit]
+
+
 def _gap(h: np.ndarray) -> np.ndarray:
     """Exponential gaps from hashes."""
     return -np.log(((h >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53)
@@ -73,15 +92,16 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         keys = []
         for shingles in batch_shingles(batch["text"]):
-            elements = weighted_elements(shingles)
-            keys.append(band_keys(dart_minhash(elements)) if len(elements) else None)
-        yield batch[["doc_id", "node"]].assign(keys=keys)
+            elements, counts = np.unique(shingles, return_counts=True)
+            keys.append(band_keys(dart_minhash(elements, weights=counts)) if len(elements) else None)
+        yield batch[["doc_id", "node", "check"]].assign(keys=keys)
 
 
 def _elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        sets = [weighted_elements(s) for s in batch_shingles(batch["text"])]
-        sketches = [dart_minhash(e, SKETCH).astype(np.uint8).tobytes() for e in sets]
+        shingled = list(batch_shingles(batch["text"]))
+        sets, counted = [weighted_elements(s) for s in shingled], [np.unique(s, return_counts=True) for s in shingled]
+        sketches = [dart_minhash(e, SKETCH, n).astype(np.uint8).tobytes() for e, n in counted]
         yield pd.DataFrame({"node": batch["node"], "elements": [e.view(np.int64) for e in sets], "sketch": sketches})
 
 
@@ -133,13 +153,21 @@ class _Choose:
             yield pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})  # as links to leaders are written
 
 
-def _chosen(members: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of members (bucket, n, node, codes, sketch) of a bucket to compare, given the components so far."""
+def _mixed(members: DataFrame, labels: DataFrame, n_texts: int) -> DataFrame:
+    """The members (bucket, n, node and more) of buckets in which several components remain, with their label."""
     placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("bucket")
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max("n").alias("n")).filter("l <> h").select("bucket", "n")
+    mixed = materialise(mixed, "mixed")
+    hot = F.col("n") * HOT > n_texts
+    few = placed.filter(hot).join(F.broadcast(mixed.filter(hot).select("bucket")), "bucket")
+    return few.unionByName(placed.filter(~hot).join(mixed.filter(~hot).select("bucket"), "bucket"))
+
+
+def _chosen(members: DataFrame, labels: DataFrame, best: bool, n_texts: int) -> DataFrame:
+    """Pairs (a, b) of members (bucket, n, node, codes, sketch) of a bucket to compare, given the components so far."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     part = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    spread = placed.join(mixed, "bucket").withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    spread = _mixed(members, labels, n_texts).withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = spread.select("bucket", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "node", "label", "codes", "sketch")
     sorted_ = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     return sorted_.mapInPandas(_Choose(best), "a long, b long").distinct()
@@ -160,31 +188,61 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return at.join(ends, at["b"] == ends["end"], "left").filter(F.col("of_a") != F.coalesce("of", "b")).select("a", "b")
 
 
+def text_hash(body: Column) -> Column:
+    return F.xxhash64(body)
+
+
+def text_check(body: Column) -> Column:
+    """A second hash: texts are equal if both are."""
+    return F.xxhash64(F.lit("check"), body)
+
+
+def _apart_by_check(rows: DataFrame, twins: DataFrame) -> DataFrame:
+    """rows (node, check and more) with nodes of their own for different texts that share a hash: twins has (node, low), the
+    smallest check of each such hash, whose text keeps it."""
+    other = F.col("low").isNotNull() & (F.col("check") != F.col("low"))
+    return rows.join(small(twins), "node", "left").withColumn("node", F.when(other, F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("low")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, node (a 64-bit hash of the text), class_id (the smallest doc_id of the class), keep.
+    """One row per row of docs: doc_id, hash and check (64 bits each, of the text), class_id (the smallest doc_id of the class), keep.
 
     Texts are linked whose counted five-word shingles have a weighted Jaccard similarity of 0.8 or more, or that are equal;
     classes are the connected components. Texts of fewer than five words are only linked to equal ones; a null text is as an
     empty one; rows with null doc_id belong to classes but name none unless all are null. Repeated rows are rows of a class.
-    One row of each class has keep: the first by doc_id (null ids last), then node, of repeated rows any one.
-
-    Equal texts are one node from the start. Each text is compared with the smallest text of all its buckets first, then with
-    the smallest of each bucket, its leader, unless both are in one component by then: few rows whatever a bucket's size, and
-    the rest of a group is linked through its leaders. Where a bucket still holds several components, texts of different ones
-    are compared, chosen by sketches of 1,024 bytes: in rounds first, each text with its best choices only, which joins most
-    components; at last all that are left. So a large group costs pairs only between the components that it truly has. Large
-    buckets are compared block by block.
+    One row of each class has keep: the first by doc_id (null ids last), then text, of repeated rows any one. Texts may be of
+    any length; other columns are ignored.
+
+    Equal texts, by both hashes, are one node from the start. Each text is compared with the smallest text of all its buckets
+    first, then with the smallest of each bucket, its leader, unless both are in one component by then: few rows whatever a
+    bucket's size, and the rest of a group is linked through its leaders. Where a bucket still holds several components, texts
+    of different ones are compared, chosen by sketches of 1,024 bytes: in rounds first, each text with its best choices only,
+    which joins most components; at last all that are left. So a large group costs pairs only between the components that it
+    truly has. Large buckets are compared block by block, and joined to what is known of them without being dealt by bucket.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("node"))
+    rows = docs.select(F.col(key).alias("doc_id"), body.alias("text"), text_hash(body).alias("node"), text_check(body).alias("check"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    signed = rows.mapInPandas(_sign, f"doc_id {id_type}, node long, keys array<long>")
+    signed = rows.mapInPandas(_sign, f"doc_id {id_type}, node long, check long, keys array<long>").withColumn("hash", F.col("node"))
     signed = materialise(signed.withColumn("row", F.monotonically_increasing_id()), "signed")  # written, so that numbers stay
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))
-    texts = materialise(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), first.alias("first")), "texts")
+
+    def distinct(rows: DataFrame) -> DataFrame:
+        found = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), first.alias("first"), F.min("check").alias("low"), F.max("check").alias("high"))
+        return materialise(found, "texts")
+
+    texts = distinct(signed)
+    twins = texts.filter("low <> high").select("node", "low")
+    if not twins.isEmpty():
+        rows, signed = _apart_by_check(rows, twins), _apart_by_check(signed, twins)
+        texts = distinct(signed)
+    n_texts = texts.count()
     buckets = texts.select("node", F.explode("keys").alias("bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    members = materialise(buckets.join(leaders.hint("shuffle_hash"), "bucket"), "members")
+    leaders = materialise(buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "leaders")
+    hot = F.col("n") * HOT > n_texts
+    met = buckets.join(F.broadcast(leaders.filter(hot)), "bucket", "left")
+    rest = met.filter("leader is null").select("bucket", "node").join(leaders.filter(~hot).hint("shuffle_hash"), "bucket")
+    members = materialise(met.filter("leader is not null").unionByName(rest), "members")
     links = members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     links = materialise(links, "links")
 
@@ -207,13 +265,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         labels = merged(labels, fresh)
 
     # In buckets of two the only pair is known or needless; texts near their leader are in its component.
-    several = members.filter("n > 2").select("bucket", "n", "node")
-    marked = several.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = marked.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("bucket")
+    several = _mixed(members.filter("n > 2").select("bucket", "n", "node"), labels, n_texts).drop("label")
     codes = texts.select("node", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("codes"))
-    open_ = materialise(several.join(mixed, "bucket").join(codes, "node").join(elements.select("node", "sketch"), "node"), "open")
+    open_ = materialise(several.join(codes, "node").join(elements.select("node", "sketch"), "node"), "open")
     for best in [True] * ROUNDS_OF_CHOICES + [False] if not open_.isEmpty() else ():
-        chosen = _chosen(open_, labels, best).join(distances.select("a", "b"), ["a", "b"], "left_anti")
+        chosen = _chosen(open_, labels, best, n_texts).join(distances.select("a", "b"), ["a", "b"], "left_anti")
         found = materialise(_verified(chosen, sets), "found")
         distances = distances.unionByName(found)
         fresh = found.filter(near).select("a", "b")
@@ -224,24 +280,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     one = F.min(F.struct("first.nameless", "first.doc_id", "node", "first.row"))
     smallest = classed.groupBy("label").agg(F.min("first_id").alias("class_id"), one.alias("one"))
     classes = classed.join(smallest, "label").select("node", "class_id", F.col("one.row").alias("kept"))
-    return signed.select("doc_id", "node", "row").join(classes, "node").select("doc_id", "node", "class_id", (F.col("row") == F.col("kept")).alias("keep"))
+    return signed.select("doc_id", "node", "hash", "check", "row").join(classes, "node").select("doc_id", "hash", "check", "class_id", (F.col("row") == F.col("kept")).alias("keep"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of docs of each class, with its own columns: the row by (doc_id, text) that has keep; see near_duplicates."""
     classed = materialise(near_duplicates(docs, key, text), "classes")
-    node = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    texts = classed.groupBy("doc_id", "node").agg(F.max("keep").alias("keep"), F.count("*").alias("n"))
-    gone = texts.filter(~F.col("keep")).select(F.col("doc_id").alias("_id"), F.col("node").alias("_gone"))
-    left = docs.withColumn("_node", node)
-    left = left.join(gone, (left["_node"] == gone["_gone"]) & left[key].eqNullSafe(gone["_id"]), "left_anti")
+    texts = classed.groupBy("doc_id", "hash", "check").agg(F.max("keep").alias("keep"), F.count("*").alias("n"))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    left = docs.withColumns({"_hash": text_hash(body), "_check": text_check(body)})
+
+    def marked(rows: DataFrame, those: DataFrame, how: str) -> DataFrame:
+        those = those.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_of"), F.col("check").alias("_by"))
+        return rows.join(those, (rows["_hash"] == those["_of"]) & (rows["_check"] == those["_by"]) & rows[key].eqNullSafe(those["_id"]), how)
+
+    left = marked(left, texts.filter(~F.col("keep")), "left_anti")
     # Of rows that repeat a document one stays; texts of different classes may share a doc_id.
-    twice = materialise(texts.filter(F.col("keep") & (F.col("n") > 1)).select(F.col("doc_id").alias("_twice"), F.col("node").alias("_text")), "twice")
+    twice = materialise(texts.filter(F.col("keep") & (F.col("n") > 1)).select("doc_id", "hash", "check"), "twice")
     if twice.isEmpty():
-        return left.drop("_node")
-    again = (left["_node"] == twice["_text"]) & left[key].eqNullSafe(twice["_twice"])
-    unique = left.join(twice, again, "left_semi").dropDuplicates([key, "_node"])
-    return left.join(twice, again, "left_anti").unionByName(unique).drop("_node")
+        return left.drop("_hash", "_check")
+    unique = marked(left, twice, "left_semi").dropDuplicates([key, "_hash", "_check"])
+    return marked(left, twice, "left_anti").unionByName(unique).drop("_hash", "_check")
 
 
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
