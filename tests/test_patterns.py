@@ -57,3 +57,20 @@ def test_average_of_a_long_group(spark):
         assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_absorbing_follows_the_order(spark):
+    rng = random.Random(9)
+    rows = [(a, i, rng.uniform(0, 30), rng.uniform(0, 30), rng.uniform(1, 200)) for a in range(4) for i in range(25)] + [(9, 1, 0.0, 0.0, 5.0)]
+    want = {}
+    for arena in {r[0] for r in rows}:
+        own = [[i, x, y, m, True] for a, i, x, y, m in rows if a == arena]
+        for one in own:
+            for other in own:
+                if one is not other and one[4] and other[4] and one[3] > 1.15 * other[3]:
+                    if ((one[1] - other[1]) ** 2 + (one[2] - other[2]) ** 2) ** 0.5 < one[3] ** 0.5 - 0.35 * other[3] ** 0.5:
+                        one[3], other[3], other[4] = one[3] + other[3], 0.0, False
+        want |= {(arena, i): (round(m, 6), alive) for i, _, _, m, alive in own}
+    got = patterns.absorbed(spark.createDataFrame(rows, "arena int, id int, x double, y double, mass double")).collect()
+    assert {(r["arena"], r["id"]): (round(r["mass"], 6), r["alive"]) for r in got} == want and len(got) == len(rows)
+    assert 0 < sum(not r["alive"] for r in got) < len(rows)

@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TOKEN = re.compile(r"\s*(?:('(?:[^']|'')*')|([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?![\w.]))|(<=|>=|<>|!=|=|<|>|\(|\))|([A-Za-z_]\w*))")
+_TOKEN = re.compile(r"\s*(?:('(?:[^']|'')*')|([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?![\w.]))|(<=|>=|<>|!=|=|<|>|\(|\)|\*|,)|([A-Za-z_]\w*))")
 _KEYWORDS = {"AND", "OR", "NOT", "IS", "NULL", "LIKE", "TRUE", "FALSE"}
 _OPS: dict[str, Callable[[Any, Any], Column]] = {
     "=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
@@ -37,30 +37,36 @@ class Junction(NamedTuple):
     parts: tuple
 
 
-def parse(clause: str) -> Test | Junction:
-    tokens: list[tuple[str, Any, int]] = []
+def tokens(text: str) -> list[tuple[str, Any, int]]:
+    """(kind, value, position) of each token of a text, and an end; signs and upper-cased keywords are their own kind."""
+    found: list[tuple[str, Any, int]] = []
     at = 0
-    while clause[at:].strip():
-        m = _TOKEN.match(clause, at)
+    while text[at:].strip():
+        m = _TOKEN.match(text, at)
         if not m:
-            raise ValueError(f"unexpected character at position {at}: {clause[at:].strip()[:10]!r}")
-        text, number, sign, word = m.groups()
-        if text is not None:
-            tokens.append(("literal", text[1:-1].replace("''", "'"), m.start(1)))
+            raise ValueError(f"unexpected character at position {at}: {text[at:].strip()[:10]!r}")
+        quoted, number, sign, word = m.groups()
+        if quoted is not None:
+            found.append(("literal", quoted[1:-1].replace("''", "'"), m.start(1)))
         elif number is not None:
-            tokens.append(("literal", float(number) if "." in number else int(number), m.start(2)))
+            found.append(("literal", float(number) if "." in number else int(number), m.start(2)))
         elif sign is not None:
-            tokens.append((sign, sign, m.start(3)))
+            found.append((sign, sign, m.start(3)))
         else:
             key = word.upper()
-            tokens.append((key if key in _KEYWORDS else "name", word, m.start(4)))
+            found.append((key if key in _KEYWORDS else "name", word, m.start(4)))
         at = m.end()
-    tokens.append(("end", "", len(clause)))
+    return [*found, ("end", "", len(text))]
+
+
+def parse(clause: str | list[tuple[str, Any, int]]) -> Test | Junction:
+    """A clause, or its tokens, as a tree."""
+    read = tokens(clause) if isinstance(clause, str) else clause
     where = 0
 
     def take(*kinds: str) -> Any:
         nonlocal where
-        kind, value, position = tokens[where]
+        kind, value, position = read[where]
         if kind not in kinds:
             raise ValueError(f"expected {' or '.join(kinds)} at position {position}, found {value!r}")
         where += 1
@@ -68,16 +74,16 @@ def parse(clause: str) -> Test | Junction:
 
     def junction(op: str, below: Callable[[], Any]) -> Any:
         parts = [below()]
-        while tokens[where][0] == op:
+        while read[where][0] == op:
             take(op)
             parts.append(below())
         return parts[0] if len(parts) == 1 else Junction(op, tuple(parts))
 
     def negation() -> Any:
-        if tokens[where][0] == "NOT":
+        if read[where][0] == "NOT":
             take("NOT")
             return Junction("NOT", (negation(),))
-        if tokens[where][0] == "(":
+        if read[where][0] == "(":
             take("(")
             inner = disjunction()
             take(")")
@@ -88,7 +94,7 @@ def parse(clause: str) -> Test | Junction:
         _, name = take("name")
         kind, _ = take("IS", "LIKE", *_OPS)
         if kind == "IS":
-            no = tokens[where][0] == "NOT"
+            no = read[where][0] == "NOT"
             if no:
                 take("NOT")
             take("NULL")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,3 +83,78 @@ def fnv1a_unit(text: Column) -> Column:
 def generated_id(now_ms: int, number: Column) -> Column:
     """Milliseconds in the upper bits, a counter of 20 bits below."""
     return F.shiftleft(F.lit(now_ms).cast("long"), 20).bitwiseOR(number.cast("long").bitwiseAND(F.lit(0xFFFFF).cast("long")))
+
+
+#: Names of users and tables: so many letters, digits, _ and - at most.
+NAME_LENGTH = 16
+
+
+def valid_name(name: str, longest: int = 64) -> bool:
+    return re.fullmatch(rf"[A-Za-z0-9_-]{{1,{longest}}}", name) is not None
+
+
+def is_name(text: Column, longest: int = NAME_LENGTH) -> Column:
+    """Whether a text is a name; null is none."""
+    return F.coalesce(text.rlike(rf"\A[A-Za-z0-9_-]{{1,{longest}}}\z"), F.lit(False))
+
+
+def words_of(text: Column, separator: str = ",") -> Column:
+    """The parts of a list in a text, trimmed, lower-cased, without empty ones."""
+    return F.filter(F.transform(F.split(text, separator), lambda p: F.lower(F.trim(p))), lambda p: p != "")
+
+
+def clamped(x: Column, low: Column, high: Column) -> Column:
+    return F.greatest(F.least(x, high), low)
+
+
+def distance(dx: Column, dy: Column) -> Column:
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def direction(dx: Column, dy: Column) -> Column:
+    """struct(x, y) of length 1, or 0 where there is no way to go."""
+    d = distance(dx, dy)
+    return F.struct(F.when(d > 0, dx / d).otherwise(0.0).alias("x"), F.when(d > 0, dy / d).otherwise(0.0).alias("y"))
+
+
+#: The factors of the lattice hash.
+LATTICE = (374761393, 668265263, 1274126177)
+_MASK = 0xFFFFFFFF
+
+
+def _times(h: Column, factor: int) -> Column:
+    """h * factor modulo 2^32 for h below 2^32, by halves of h, so that no product leaves a long."""
+    low, high = h.bitwiseAND(F.lit(0xFFFF).cast("long")), F.shiftrightunsigned(h, 16)
+    over = F.shiftleft((high * factor).bitwiseAND(F.lit(0xFFFF).cast("long")), 16)
+    return (low * factor + over).bitwiseAND(F.lit(_MASK).cast("long"))
+
+
+def lattice_unit(x: Column, y: Column, seed: int) -> Column:
+    """A number in [0, 1) for a point of whole coordinates, from a 32-bit hash."""
+    mask, (by_x, by_y, last) = F.lit(_MASK).cast("long"), LATTICE
+    h = (_times(x.cast("long").bitwiseAND(mask), by_x) + _times(y.cast("long").bitwiseAND(mask), by_y) + F.lit(seed * 1442695040 & _MASK).cast("long")).bitwiseAND(mask)
+    h = _times(h.bitwiseXOR(F.shiftrightunsigned(h, 13)), last)
+    return h.bitwiseXOR(F.shiftrightunsigned(h, 16)).bitwiseAND(F.lit(0xFFFFFF).cast("long")) / F.lit(float(1 << 24))
+
+
+def value_noise(x: Column, y: Column, seed: int) -> Column:
+    """Smooth noise in [0, 1): the lattice's numbers at the four corners around a point, blended by a cubic."""
+    left, below = F.floor(x), F.floor(y)
+    ease = lambda t: t * t * (3.0 - 2.0 * t)
+    across, up = ease(x - left), ease(y - below)
+    row = lambda at: lattice_unit(left, at, seed) * (1.0 - across) + lattice_unit(left + 1, at, seed) * across
+    return row(below) * (1.0 - up) + row(below + 1) * up
+
+
+def random_walk(seed: Column, n: int) -> Column:
+    """The next n numbers in [0, 1) of a xorshift generator of 64 bits (13, 7, 17), as an array; the seed isn't 0."""
+
+    def turn(s: Column, _: Column) -> Column:
+        x = s["x"].bitwiseXOR(F.shiftleft(s["x"], 13))
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
+        x = x.bitwiseXOR(F.shiftleft(x, 17))
+        unit = F.shiftrightunsigned(x, 11) / F.lit(float(1 << 53))
+        return F.struct(x.alias("x"), F.concat(s["out"], F.array(unit)).alias("out"))
+
+    start = F.struct(seed.cast("long").alias("x"), F.array().cast("array<double>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, turn, lambda s: s["out"])

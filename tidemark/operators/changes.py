@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def effective(log: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
@@ -47,6 +48,27 @@ def overlay(committed: DataFrame, staged: DataFrame, key: str = "key", deleted:
     return rest.unionByName(staged.filter(~F.col(deleted)).drop(deleted))
 
 
+def resolve(changes: DataFrame, current: DataFrame, schema: T.StructType, key: str, missing: str = "error") -> DataFrame:
+    """What changes (op and columns of schema) do to the current rows: key, op, old_value, new_value, as a log holds them.
+
+    op UPSERT becomes UPDATE or INSERT, INSERT on a present key stays INSERT and carries the old row. The last of several
+    changes of a key isn't known, so a key may change once; that raises ValueError. Deleting or updating an absent key raises
+    KeyError, unless missing='ignore'. Nothing is written here.
+    """
+    cells = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in changes.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    new = changes.select(F.col(key).cast(schema[key].dataType).alias("key"), F.upper("op").alias("op"), F.struct(*cells).alias("new_value"))
+    before = current.select(F.col(key).alias("key"), F.struct(*schema.names).alias("old_value"))
+    both = new.join(before, "key", "left")
+    absent = F.col("op").isin("DELETE", "UPDATE") & F.col("old_value").isNull()
+    told = both.groupBy("key").agg(F.count("*").alias("n"), F.bool_or(absent).alias("absent")).filter("n > 1 or absent").agg(F.count_if(F.col("n") > 1).alias("twice"), F.count_if("absent").alias("absent")).first()
+    if told["twice"]:
+        raise ValueError("a key changes more than once in this commit")
+    if told["absent"] and missing == "error":
+        raise KeyError("a key to delete or update is absent")
+    op = F.when(F.col("op") == "UPSERT", F.when(F.col("old_value").isNull(), "INSERT").otherwise("UPDATE")).otherwise(F.col("op"))
+    return both.filter(~absent).select("key", op.alias("op"), "old_value", F.when(F.col("op") != "DELETE", F.col("new_value")).alias("new_value"))
+
+
 def resume(snapshot: DataFrame, tail: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
     """State from a snapshot (keys, seq, values) and the log after it: the last writer wins."""
     return current_state(snapshot.withColumn("op", F.lit("INSERT")).unionByName(tail), keys)

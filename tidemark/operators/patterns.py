@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +49,46 @@ def first_taker(pairs: DataFrame, taker: str = "left_id", taken: str = "right_id
     return pairs.groupBy(taken).agg(F.min(taker).alias(taker))
 
 
+def absorbed(entities: DataFrame, ratio: float = 1.15, inset: float = 0.35, group: str = "arena") -> DataFrame:
+    """(arena, id, mass, alive) after each entity, in the order of ids, has absorbed those that it can.
+
+    entities: arena, id, x, y, mass. One absorbs another that is alive if its mass is more than ratio times the other's and the
+    other's centre lies within its radius (the root of its mass) less inset times the other's; its mass grows by the other's at once, so what it
+    can absorb next depends on what came before. That is one sequence in an arena, whose entities are few; arenas are
+    dealt to tasks by Spark.
+    """
+
+    def play(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        x, y, mass, alive = rows["x"].to_numpy(float), rows["y"].to_numpy(float), rows["mass"].to_numpy(float).copy(), np.ones(len(rows), bool)
+        for i in range(len(rows)):
+            j = 0
+            while alive[i] and j < len(rows):
+                # The next prey at or after j for the mass it has now.
+                far = np.hypot(x[i] - x[j:], y[i] - y[j:]) - np.sqrt(mass[i]) + inset * np.sqrt(mass[j:])
+                prey = alive[j:] & (mass[i] > ratio * mass[j:]) & (far < 0)
+                if not prey.any():
+                    break
+                j += int(prey.argmax())
+                mass[i], mass[j], alive[j] = mass[i] + mass[j], 0.0, False
+                j += 1
+        return pd.DataFrame({group: rows[group], "id": rows["id"], "mass": mass, "alive": alive})
+
+    kinds = {c: entities.schema[c].dataType.simpleString() for c in (group, "id")}
+    return entities.select(group, "id", "x", "y", "mass").groupBy(group).applyInPandas(play, f"{group} {kinds[group]}, id {kinds['id']}, mass double, alive boolean")
+
+
+def stepped(bodies: DataFrame, seconds: Column, friction: float = 0.5, bound: float = 100.0) -> DataFrame:
+    """Bodies (x, y, vx, vy) a step later: moved, slowed, kept within the bound and turned back there."""
+    out = bodies
+    for at, v in (("x", "vx"), ("y", "vy")):
+        moved = F.col(at) + F.col(v) * seconds
+        slowed = F.col(v) * (1.0 - F.lit(friction) * seconds)
+        beyond = (moved < -bound) | (moved > bound)
+        out = out.withColumns({at: F.greatest(F.least(moved, F.lit(bound)), F.lit(-bound)), v: F.when(beyond, -slowed).otherwise(slowed)})
+    return out
+
+
 def increments(current: DataFrame, deltas: DataFrame, key: str, value: str) -> DataFrame:
     """Current values plus the sums of deltas (key, value); keys on either side alone are kept."""
     return current.select(key, value).unionByName(deltas.select(key, value)).groupBy(key).agg(F.sum(value).alias(value))

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.predicate import compile_typed, compile_variant
-from ..functions.render import accrued, epoch_millis, fnv1a_unit, generated_id, json_number, moved_toward, version_parts
-from ..functions.subscription import matches, project, route, route_thresholds, subscribe
+from ..functions.render import accrued, clamped, direction, distance, epoch_millis, fnv1a_unit, generated_id, grid_cell, is_name, json_number, moved_toward, random_walk, value_noise, version_parts, words_of
+from ..functions.subscription import matches, per_table, project, route, route_thresholds, subscribe, subscribe_all
 from ..operators import changes as C
 from ..operators import patterns as P
-from ..sources.tables import scan_point, scan_prefix, scan_range
+from ..sources.tables import all_rows, scan_point, scan_prefix, scan_range
+from ..streaming.delivery import envelope, filter_transform
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -141,10 +144,13 @@ def project_columns(spark, d):
 
 @query("SELECT n_name, r_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name, r_name HAVING count(*) > 1")
 def sql_select(spark, d):
-    """SELECT is Spark's own: joins, grouping and HAVING beyond the subscription language."""
+    """SELECT is Spark's own: joins, grouping and HAVING beyond the subscription language, over the views of tables."""
     for name in ("customer", "nation", "region"):
         t(spark, d, name).createOrReplaceTempView(name)
-    return spark.sql(ORACLES["sql_select"])
+    return spark.sql("""
+        WITH placed AS (SELECT c_acctbal, n_name, n_regionkey FROM nation INNER JOIN customer ON n_nationkey = c_nationkey)
+        SELECT n_name, r_name, count(c_acctbal) AS customers, round(sum(c_acctbal), 2) AS balance FROM placed, region
+        WHERE n_regionkey = r_regionkey GROUP BY ALL HAVING customers >= 2""")
 
 
 @query("SELECT (SELECT count(*) FROM customer) AS row_count, sum(strlen(c_custkey::VARCHAR) + 16 + 9 + strlen(c_custkey::VARCHAR) + 6 + strlen(c_name) + 11 + strlen(c_nationkey::VARCHAR) + 12 + strlen(c_mktsegment))::BIGINT AS size_bytes FROM customer")
@@ -303,8 +309,8 @@ def sub_aoi_viewport(spark, d):
 
 @query("SELECT 'events' AS table_name, 50 AS subscriptions UNION ALL SELECT 'other_' || range, 1 FROM range(1, 100, 2)")
 def subscriptions_per_table(spark, d):
-    subs = spark.range(100).select(F.when(F.col("id") % 2 == 0, "events").otherwise(F.concat(F.lit("other_"), "id")).alias("table_name"))
-    return subs.groupBy("table_name").agg(F.count("*").cast("int").alias("subscriptions"))
+    subs = spark.range(100).select(F.when(F.col("id") % 2 == 0, "events").otherwise(F.concat(F.lit("other_"), "id")).alias("table"))
+    return per_table(subs)
 
 
 @query("SELECT event_id FROM events WHERE event_type <> 'error' AND (json_extract(props, '$.k'))::BIGINT % 2 = 0")
@@ -313,6 +319,54 @@ def filter_udf_not_done(spark, d):
     return t(spark, d, "events").filter((F.col("event_type") != "error") & F.coalesce(F.get_json_object("props", "$.k").cast("long") % 2 == 0, F.lit(False))).select("event_id")
 
 
+def _with_event(spark, d):
+    rows = t(spark, d, "events").select("event_id", F.lit("events").alias("table"), F.lit("INSERT").alias("op"), F.col("event_id").alias("seq"), F.col("user_id").alias("key"), F.struct("event_type", "value").alias("new_value"), F.lit(None).cast("string").alias("old_value"))
+    return rows.withColumn("event", envelope())
+
+
+def _costly(events: pd.Series) -> pd.Series:
+    """Of events in JSON: whether the new value is above 50; null where there is none, which drops the event."""
+    values = [json.loads(e)["new_value"].get("value") for e in events]
+    return pd.Series([None if v is None else v > 50 for v in values], dtype=object)
+
+
+def _shout(events: pd.Series) -> pd.Series:
+    """The event's type in upper case, of views nothing, which leaves the event as it was."""
+    types = [json.loads(e)["new_value"]["event_type"] for e in events]
+    return pd.Series([None if x == "view" else x.upper() for x in types], dtype=object)
+
+
+@query("SELECT event_id FROM events WHERE value > 50")
+def filter_function(spark, d):
+    """A filter function of Python over the event, batch by batch."""
+    return filter_transform(_with_event(spark, d), keep=F.pandas_udf(_costly, "boolean"), tables=["events"]).select("event_id")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN '{\"table\":\"events\",\"op\":\"INSERT\",\"seq\":' || event_id || ',\"key\":' || user_id || '}' ELSE upper(event_type) END AS event FROM events WHERE value > 50")
+def transform_function(spark, d):
+    out = filter_transform(_with_event(spark, d).withColumn("event", envelope(("table", "op", "seq", "key", "new_value"))), keep=F.pandas_udf(_costly, "boolean"), transform=F.pandas_udf(_shout, "string"))
+    kept = F.to_json(F.from_json("event", "table string, op string, seq long, key long"))
+    return out.select("event_id", F.when(F.col("event").startswith("{"), kept).otherwise(F.col("event")).alias("event"))
+
+
+@query(f"""WITH {EFF} SELECT 'all' AS subscription, count(*) AS events FROM eff UNION ALL SELECT 'large', count(*) FROM eff WHERE {_HIT}
+UNION ALL SELECT 'same', count(*) FROM eff WHERE {_HIT} UNION ALL SELECT 'table', count(*) FROM eff UNION ALL
+SELECT 'mixed', count(*) FROM eff WHERE CASE op WHEN 'DELETE' THEN coalesce(old_value < 10 OR old_value > 90, false) WHEN 'UPDATE' THEN coalesce(new_value < 10 OR new_value > 90, false) OR coalesce(old_value < 10 OR old_value > 90, false) ELSE coalesce(new_value < 10 OR new_value > 90, false) END""")
+def sub_table_and_all(spark, d):
+    """Subscriptions of one table and of all tables at once: an event that matches several comes once for each."""
+    subs = [subscribe_all("all"), subscribe("large", "SELECT * FROM events WHERE value > 50"), subscribe("same", "SELECT * FROM events WHERE value > 50"), subscribe("table", "SELECT * FROM events"), subscribe("mixed", "SELECT * FROM events WHERE value < 10 OR value > 90"), subscribe("other", "SELECT * FROM orders")]
+    return route(feed(spark, d), subs, ROW).groupBy("subscription").agg(F.count("*").alias("events"))
+
+
+@query("""SELECT 'region' AS "table", r_regionkey::VARCHAR AS key, '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS value FROM region
+UNION ALL SELECT 'nation', n_nationkey::VARCHAR, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' FROM nation
+UNION ALL SELECT 'customer', c_custkey::VARCHAR, '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}' FROM customer""")
+def all_tables_rows(spark, d):
+    """The first rows of a subscription of all tables."""
+    columns = {"region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "customer": ("c_custkey", "c_mktsegment")}
+    return all_rows({name: (t(spark, d, name).select(*own), own[0]) for name, own in columns.items()})
+
+
 @query("SELECT event_id, CASE WHEN value > 50 THEN '***' ELSE event_type END AS masked FROM events")
 def transform_mask(spark, d):
     return t(spark, d, "events").select("event_id", F.when(F.col("value") > 50, "***").otherwise(F.col("event_type")).alias("masked"))
@@ -401,7 +455,7 @@ def counts_and_last(spark, d):
     return t(spark, d, "events").agg(F.count("*").alias("n"), F.count_if(click).alias("clicks"), F.max_by("event_id", F.when(click, F.col("event_id"))).alias("last_click"))
 
 
-@query("SELECT s_suppkey, least(1.5 * (s_suppkey % 1000), 250.0) AS stock FROM supplier")
+@query("SELECT s_suppkey, least(1.5::DOUBLE * (s_suppkey % 1000), 250.0::DOUBLE) AS stock FROM supplier")
 def accrual_capped(spark, d):
     return t(spark, d, "supplier").select("s_suppkey", accrued(F.lit(1.5), (F.col("s_suppkey") % 1000), F.lit(250.0)).alias("stock"))
 
@@ -421,7 +475,7 @@ def rekey_on_move(spark, d):
 # Functions
 
 
-@query("SELECT event_id, (json_extract(props, '$.k'))::DOUBLE AS k, -1.0 AS missing FROM events")
+@query("SELECT event_id, (json_extract(props, '$.k'))::DOUBLE AS k, -1.0::DOUBLE AS missing FROM events")
 def json_props_get(spark, d):
     return t(spark, d, "events").select("event_id", json_number(F.col("props"), "$.k", -1).alias("k"), json_number(F.col("props"), "$.none", -1).alias("missing"))
 
@@ -441,7 +495,7 @@ def epochs(spark, d):
     return t(spark, d, "events").select("event_id", epoch_millis(F.col("ts")).alias("ms"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey % 7, p_partkey) AS place FROM part WHERE p_partkey <= 200")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey % 7, p_partkey) AS place FROM part")
 def version_compare_sort(spark, d):
     v = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 7).cast("string"), F.col("p_partkey").cast("string"))
     return P.numbered(t(spark, d, "part"), version_parts(v), "place").select("p_partkey", "place")
@@ -452,7 +506,7 @@ def percentile_nearest_rank(spark, d):
     return P.percentile_nearest(t(spark, d, "events"), "event_type", "value", 0.99)
 
 
-@query()
+@query("SELECT user_id, list_reduce(list_prepend(0::BIGINT, list(trunc(value)::BIGINT ORDER BY event_id)), lambda a, x: (a * 9 + x) // 10) AS average FROM events GROUP BY 1")
 def ema(spark, d):
     return P.moving_average(t(spark, d, "events"), "user_id", "event_id", "value")
 
@@ -462,14 +516,66 @@ def id_generate(spark, d):
     return t(spark, d, "part").select("p_partkey", generated_id(1_700_000_000_000, F.col("p_partkey")).alias("id"))
 
 
-@query()
+@query("SELECT c_custkey, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(c_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295) / 4294967296.0::DOUBLE AS unit FROM customer")
 def hash_to_unit(spark, d):
     return t(spark, d, "customer").select("c_custkey", fnv1a_unit(F.col("c_name")).alias("unit"))
 
 
+@query("SELECT c_custkey, regexp_full_match(c_name[:c_custkey % 20], '[A-Za-z0-9_-]{1,16}') AS is_name FROM customer")
+def name_check(spark, d):
+    return t(spark, d, "customer").select("c_custkey", is_name(F.substring("c_name", F.lit(1), (F.col("c_custkey") % 20).cast("int"))).alias("is_name"))
+
+
+@query("SELECT p_partkey, list_filter(list_transform(string_split(p_type || ', ,' || p_brand, ','), lambda p: lower(trim(p))), lambda p: p <> '') AS words FROM part")
+def list_words(spark, d):
+    return t(spark, d, "part").select("p_partkey", words_of(F.concat_ws(", ,", "p_type", "p_brand")).alias("words"))
+
+
+@query(f"""WITH {_POINTS} SELECT id, sqrt((x - 500) * (x - 500) + (y - 500) * (y - 500)) AS away, greatest(least(x, 800), 200)::BIGINT AS kept,
+CASE WHEN x = 500 AND y = 500 THEN 0 ELSE round((500 - x) / sqrt((x - 500) * (x - 500) + (y - 500) * (y - 500)), 9) END AS toward FROM p""")
+def steering(spark, d):
+    dx, dy = 500 - F.col("x"), 500 - F.col("y")
+    return _points(spark, d).select("id", distance(dx, dy).alias("away"), clamped(F.col("x"), F.lit(200), F.lit(800)).alias("kept"), F.round(direction(dx, dy)["x"], 9).alias("toward"))
+
+
+_LATTICE = "(SELECT (xor(h2, h2 >> 16) & 16777215) / 16777216.0::DOUBLE FROM (SELECT (xor(h1, h1 >> 13) * 1274126177) & 4294967295 AS h2 FROM (SELECT (({x}) * 374761393 + ({y}) * 668265263 + 7::BIGINT * 1442695040) & 4294967295 AS h1)))"
+_EASE = "({t} * {t} * (3.0::DOUBLE - 2.0::DOUBLE * {t}))"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS id, p_partkey % 97 / 8.0::DOUBLE AS x, p_partkey % 89 / 16.0::DOUBLE AS y FROM part),
+c AS (SELECT id, floor(x)::HUGEINT AS i, floor(y)::HUGEINT AS j, {_EASE.format(t="(x - floor(x))")} AS u, {_EASE.format(t="(y - floor(y))")} AS v FROM p),
+n AS (SELECT id, u, v, {_LATTICE.format(x="i", y="j")} AS a, {_LATTICE.format(x="i + 1", y="j")} AS b, {_LATTICE.format(x="i", y="j + 1")} AS e, {_LATTICE.format(x="i + 1", y="j + 1")} AS f FROM c)
+SELECT id, round((a * (1 - u) + b * u) * (1 - v) + (e * (1 - u) + f * u) * v, 9) AS noise FROM n""")
+def terrain_noise(spark, d):
+    at = t(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 97 / 8.0).alias("x"), (F.col("p_partkey") % 89 / 16.0).alias("y"))
+    return at.select("id", F.round(value_noise(F.col("x"), F.col("y"), 7), 9).alias("noise"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT s_suppkey AS id, 0 AS n, s_suppkey::HUGEINT AS x FROM supplier UNION ALL
+SELECT id, n + 1, xor(b, (b * 131072) % 18446744073709551616) FROM (SELECT id, n, xor(a, a // 128) AS b FROM (SELECT id, n, xor(x, (x * 8192) % 18446744073709551616) AS a FROM r WHERE n < 3)))
+SELECT id, max(CASE n WHEN 1 THEN (x // 2048)::DOUBLE / 9007199254740992.0::DOUBLE END) AS first, max(CASE n WHEN 3 THEN (x // 2048)::DOUBLE / 9007199254740992.0::DOUBLE END) AS third FROM r GROUP BY id""")
+def random_numbers(spark, d):
+    walk = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), random_walk(F.col("s_suppkey"), 3).alias("walk"))
+    return walk.select("id", F.get("walk", F.lit(0)).alias("first"), F.get("walk", F.lit(2)).alias("third"))
+
+
+@query(f"""WITH {_POINTS} SELECT id, greatest(least(x + v * 0.5::DOUBLE, 900.0::DOUBLE), -900.0::DOUBLE) AS x,
+CASE WHEN x + v * 0.5::DOUBLE > 900 OR x + v * 0.5::DOUBLE < -900 THEN -(v * 0.75::DOUBLE) ELSE v * 0.75::DOUBLE END AS vx FROM (SELECT id, x::DOUBLE AS x, (y - 400)::DOUBLE AS v FROM p)""")
+def physics_step(spark, d):
+    bodies = _points(spark, d).select("id", F.col("x").cast("double").alias("x"), F.lit(0.0).alias("y"), (F.col("y") - 400).cast("double").alias("vx"), F.lit(0.0).alias("vy"))
+    return P.stepped(bodies, F.lit(0.5), 0.5, 900.0).select("id", "x", "vx")
+
+
+@query()
+def absorb_in_order(spark, d):
+    """Suppliers of a nation absorb one another in the order of their keys; a sequence that SQL can't express."""
+    at = t(spark, d, "supplier").select(F.col("s_nationkey").alias("arena"), F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 53 % 97).alias("x"), (F.col("s_suppkey") * 71 % 89).alias("y"), (F.col("s_suppkey") % 50 * 40 + 10).alias("mass"))
+    return P.absorbed(at)
+
+
 @query("SELECT l_partkey % 60 // 8 AS cx, l_suppkey % 60 // 8 AS cy, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def grid_bins(spark, d):
-    cell = lambda c: F.floor(F.col(c) % 60 / 8)
+    cell = lambda c: grid_cell(F.col(c) % 60, 8)
     return t(spark, d, "lineitem").groupBy(cell("l_partkey").alias("cx"), cell("l_suppkey").alias("cy")).agg(F.count("*").alias("n"))
 
 
@@ -478,7 +584,8 @@ def stream_equals_batch(spark, d):
     """The subscription of sub_match over a stream of the feed, run to its end and read back."""
     import uuid
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or _local()).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")  # folders that all executors see
+    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     events = feed(spark, d)
     events.write.parquet(f"{base}/in")
     hits = spark.readStream.schema(events.schema).parquet(f"{base}/in").filter(matches(subscribe("s", "SELECT * FROM events WHERE value > 50"), ROW)).select("seq", "key", "op")
@@ -486,11 +593,5 @@ def stream_equals_batch(spark, d):
     return spark.read.schema(hits.schema).parquet(f"{base}/out")
 
 
-def _local() -> str:
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="tidemark-")
-
-
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return QUERIES["where_urgent_large"](spark, d)

@@ -6,10 +6,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.predicate import compile_typed
-from ..functions.subscription import Subscription, matches, project, route
+from ..functions.subscription import Subscription, matches, project, route, subscribe, subscribe_all
 from ..sources.tables import ChangeTable
 
 
@@ -18,18 +19,24 @@ def stream(table: ChangeTable, start: int = 1, files_per_trigger: int | None = N
     reader = table.spark.readStream.schema(table._log_schema).option("basePath", f"{table.path}/log")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(f"{table.path}/log/seq=*").filter(F.col("seq") >= start)
+    return reader.parquet(f"{table.path}/log/seq=*/{table.name}").filter(F.col("seq") >= start)
 
 
-def bootstrap(table: ChangeTable, subscription: Subscription) -> tuple[DataFrame, DataFrame, int]:
-    """(rows as of the last commit that the subscription sees, changes after it as a stream, that commit): nothing twice or missed."""
+def bootstrap(table: ChangeTable, subscription: Subscription, start: int | None = None, initial: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(rows as of the last commit that the subscription sees, changes after it as a stream, that commit): nothing twice or missed.
+
+    With a start, the stream begins with that commit instead, whatever the rows hold. initial, if given, makes the first rows
+    from the table's in place of the subscription's own filter.
+    """
     at = table.latest()
     rows = table.read(at)
-    if subscription.where is not None:
+    if initial is not None:
+        rows = initial(rows)
+    elif subscription.where is not None:
         rows = rows.filter(compile_typed(subscription.where, table.schema))
     if subscription.columns is not None:
         rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in subscription.columns])
-    changes = stream(table, at + 1).filter(F.coalesce(matches(subscription, table.schema), F.lit(False)))
+    changes = stream(table, at + 1 if start is None else start).filter(F.coalesce(matches(subscription, table.schema), F.lit(False)))
     return rows, project(subscription, changes, table.schema), at
 
 
@@ -61,6 +68,50 @@ def routed(subscriptions: Sequence[Subscription], table: ChangeTable, name: str,
     return write
 
 
+class Subscriptions:
+    """The subscriptions of a catalogue, kept as a change table of their own beside it: what they say, where they start and stand."""
+
+    def __init__(self, spark, path: str):
+        self._table = ChangeTable(spark, f"{path.rstrip('/')}-subscriptions", T.StructType.fromDDL("id string, sql string, table string, start long, acked long"), "id")
+
+    def create(self, id: str, sql: str | None = None, start: int = 1) -> Subscription:
+        """From a SELECT, or for all tables; raises ValueError for one that doesn't parse or is there already."""
+        made = subscribe(id, sql) if sql else subscribe_all(id)
+        if not self._table.get(id).isEmpty():
+            raise ValueError(f"subscription {id!r} exists")
+        spark = self._table.spark
+        self._table.insert(spark.createDataFrame([(id, sql, made.table, start, start - 1)], self._table.schema))
+        return made
+
+    def get(self, id: str) -> Subscription:
+        row = self._table.get(id).first()
+        if row is None:
+            raise KeyError(id)
+        return subscribe(id, row["sql"]) if row["sql"] else subscribe_all(id)
+
+    def list(self) -> DataFrame:
+        return self._table.read()
+
+    def delete(self, id: str) -> None:
+        self._table.delete(F.col("id") == id)
+
+    def acknowledge(self, acks: DataFrame) -> None:
+        """acks (id, acked): each subscription moves forward only; unknown ones are passed over."""
+        most = acks.groupBy("id").agg(F.max("acked").alias("to"))
+        moved = self.list().join(most, "id").filter(F.col("to") > F.col("acked")).withColumn("acked", F.col("to")).drop("to")
+        self._table.commit(moved.withColumn("op", F.lit("UPDATE")))
+
+    def lag(self, latest: int) -> DataFrame:
+        """(id, lag): commits that each has still to acknowledge."""
+        return self.list().select("id", (F.lit(latest) - F.col("acked")).alias("lag"))
+
+    def replay(self, id: str, table: ChangeTable) -> DataFrame:
+        """The changes of a table from where the subscription starts, as it sees them."""
+        row, s = self._table.get(id).first(), self.get(id)
+        seen = table.log(row["start"]).withColumn("table", F.lit(table.name)).filter(F.coalesce(matches(s, table.schema, table="table"), F.lit(False)))
+        return project(s, seen, table.schema)
+
+
 def envelope(columns: Sequence[str] = ("table", "op", "seq", "key", "new_value", "old_value")) -> Column:
     """A change as JSON for filter and transform functions."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
