@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,13 @@ def until_exit(spark: SparkSession, path: str) -> str:
     return path
 
 
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small table given in the program, as one literal that the JVM reads."""
+    names = [f.split()[0] for f in schema.split(",")]
+    text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':').replace(',:', ', ')}>>")))
+
+
 def stable_bits(value: Column, digits: int = 15, salt: str = "") -> Column:
     """A non-negative long of 4 * digits bits that depends on nothing but the value (null: as empty) and the salt."""
     text = F.concat(F.lit(salt), F.coalesce(value.cast("string"), F.lit("")))

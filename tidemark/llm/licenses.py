@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import literal_rows, table
 
 #: Words, after lower-casing: runs of digits, letters and anything that isn't ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -105,8 +105,8 @@ def _index(spark: SparkSession, templates: Sequence[tuple[str, str, bool]]) -> t
         heads.append((n, label, base, exact, len(kept)))
     if len(grams) > MOST_GRAMS:
         raise ValueError("too many templates to send to every executor")
-    index = spark.createDataFrame(grams, "a string, b string, template int, at int, part int, mask long")
-    return index.select(F.xxhash64("a", "b").alias("gram"), *index.columns), spark.createDataFrame(heads, "template int, label string, base boolean, exact boolean, grams int")
+    index = literal_rows(spark, grams, "a string, b string, template int, at int, part int, mask long")
+    return index.select(F.xxhash64("a", "b").alias("gram"), *index.columns), literal_rows(spark, heads, "template int, label string, base boolean, exact boolean, grams int")
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, notices: Sequence[tuple[str, str]] = NOTICES) -> DataFrame:
