@@ -225,3 +225,18 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, nameless: bool = False)
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), nameless=True)
+
+
+#: Exact containment, item by item; a number for each row keeps the texts out of the joins.
+ORACLE = r"""
+WITH items AS (
+  SELECT row_number() OVER () AS item, item_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)),
+docs AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+of_items AS (SELECT DISTINCT item, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle FROM items),
+of_docs AS (SELECT DISTINCT doc, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle FROM docs),
+sizes AS (SELECT item, count(*) AS size FROM of_items GROUP BY 1),
+met AS (SELECT doc, item, count(*) AS held FROM of_docs JOIN of_items USING (shingle) GROUP BY 1, 2)
+SELECT doc_id, item_id, max(held / size::DOUBLE) AS containment
+FROM met JOIN sizes USING (item) JOIN items USING (item) JOIN docs USING (doc) WHERE held >= 0.8 * size GROUP BY 1, 2
+"""

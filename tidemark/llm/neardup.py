@@ -305,3 +305,26 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "keep")
+
+
+#: Similarities of all pairs that share a shingle, and the closure of their links.
+ORACLE = r"""
+WITH RECURSIVE texts AS (SELECT coalesce(text, '') AS text, row_number() OVER (ORDER BY coalesce(text, '')) AS node FROM documents GROUP BY 1),
+words AS (SELECT node, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+shingles AS (
+  SELECT node, shingle, count(*) AS n
+  FROM (SELECT node, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle FROM words) GROUP BY 1, 2),
+sizes AS (SELECT node, sum(n) AS size FROM shingles GROUP BY 1),
+met AS (
+  SELECT a.node AS a, b.node AS b, sum(least(a.n, b.n)) AS shared
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.node < b.node GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM met JOIN sizes s ON a = s.node JOIN sizes t ON b = t.node WHERE shared / (s.size + t.size - shared)::DOUBLE >= 0.8 - 1e-9),
+reached AS (
+  SELECT node AS origin, node FROM texts
+  UNION SELECT origin, CASE WHEN a = node THEN b ELSE a END FROM reached JOIN links ON node IN (a, b)),
+classes AS (SELECT node, min(origin) AS class FROM reached GROUP BY 1),
+rows AS (SELECT doc_id, class, coalesce(d.text, '') AS text FROM documents d JOIN texts t ON coalesce(d.text, '') = t.text JOIN classes USING (node))
+SELECT doc_id, min(doc_id) OVER (PARTITION BY class) AS class_id,
+       row_number() OVER (PARTITION BY class ORDER BY doc_id NULLS LAST, text) = 1 AS keep FROM rows
+"""

@@ -17,8 +17,12 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
 }
 
-#: Without an entry, SQL can't express the result (CRC-32, sketches, fitted models): tests hold it against brute force.
+#: Without an entry, SQL can't express the result (CRC-32, fitted models, hashed surrogates): tests hold it against brute force.
 ORACLES = {
     "op4_url_filter": urls.ORACLE,
+    "op5_decontamination": decontamination.ORACLE,
+    "op6_nearest": vectors.ORACLE,
+    "op7_secrets": secrets.ORACLE,
+    "op8_neardup": neardup.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }

@@ -128,3 +128,31 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["order"] < len(BASE))
     counts = [F.size(F.filter("spans", of_kind(r.kind))).cast("long").alias(f"n_{r.kind}") for r in BASE]
     return scanned.select(F.col("path").alias("doc_id"), *counts, F.sha2(render(base), 256).alias("base_sha256"), render(F.col("spans")).alias("spans"))
+
+
+def _sql_matches() -> str:
+    """A SELECT for each rule: matches, their groups and the pieces between. SQL's patterns have no look-behind, so a run of hex
+    digits is matched whole and dropped if it is short."""
+    one = "SELECT row, {n} AS rule, '{kind}' AS kind, {least} AS least, regexp_extract_all(text, '{p}') AS whole, regexp_extract_all(text, '{p}', {group}) AS part, regexp_split_to_array(text, '{p}') AS pieces FROM texts"
+    plain = [(r, r"[0-9a-f]+" if r.kind == "hex" else r.pattern) for r in RULES]
+    return "\n  UNION ALL ".join(one.format(n=n, kind=r.kind, least=r.least, group=r.group, p=p.replace("'", "''")) for n, (r, p) in enumerate(plain))
+
+
+ORACLE = rf"""
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+matched AS (
+  {_sql_matches()}),
+placed AS (
+  SELECT row, rule, kind, least, unnest(range(1, len(whole) + 1)) AS i, whole, part, pieces FROM matched),
+spans AS (
+  SELECT row, rule, kind, list_sum(list_transform(pieces[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda m: length(m))), 0) AS start,
+         length(whole[i]) AS size FROM placed WHERE length(part[i]) >= least),
+listed AS (
+  SELECT row, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT, ',' ORDER BY start, rule) FILTER (WHERE rule < {len(BASE)}) AS base,
+         string_agg(kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT, ',' ORDER BY start, rule) AS spans
+  FROM spans GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN listed USING (row)
+"""
