@@ -156,7 +156,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH rows AS (
-  SELECT *, length(bin(size + 1))::BIGINT AS wish FROM (
+  SELECT *, length(bin(size + 1))::BIGINT AS wish, row_number() OVER () AS row FROM (
     SELECT doc_id, source, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS source_key,
            len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
            (('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
@@ -193,10 +193,10 @@ chosen AS (
   SELECT *, CASE WHEN rest <= 0 OR p <= 0 THEN 0 WHEN size = 0 THEN (rest - first > 0)::INT ELSE (first + size <= rest)::INT END AS extra FROM placed),
 gaps AS (SELECT source_key, max(rest) - sum(size * extra) AS gap FROM chosen GROUP BY 1),
 closing AS (
-  SELECT source_key, doc_id, size FROM chosen JOIN gaps USING (source_key)
+  SELECT row FROM chosen JOIN gaps USING (source_key)
   WHERE extra = 0 AND size > 0 AND rest > 0 AND p > 0 AND size < 2 * gap
   QUALIFY row_number() OVER (PARTITION BY source_key ORDER BY abs(size - gap), pareto, doc_id) = 1)
 SELECT c.doc_id, c.size::BIGINT AS size, c.source_size, c.target,
-       ((c.whole + c.extra + (x.doc_id IS NOT NULL)::INT) * c.size)::BIGINT AS taken
-FROM chosen c LEFT JOIN closing x ON x.source_key = c.source_key AND x.doc_id = c.doc_id
+       ((c.whole + c.extra + (x.row IS NOT NULL)::INT) * c.size)::BIGINT AS taken
+FROM chosen c LEFT JOIN closing x ON x.row = c.row
 """
